@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 
 # Blank characters: ASCII blanks, next-line and every Unicode separator.
 BLANK = r"\t\n\x0B\f\r\x{85}\p{Z}"
@@ -29,22 +28,3 @@ def at_least_words(n: int) -> str:
     return f"^[^{BLANK}]*" + f"[{BLANK}]+[^{BLANK}]+" * (n - 2) + f"[{BLANK}]+[^{BLANK}]"
 
 
-def word_trie(words: Iterable[str]) -> str:
-    """One pattern for a word list in which words share their prefixes, so a
-    token is read once instead of being tried against every word."""
-    root: dict = {}
-    for word in words:
-        node = root
-        for ch in word:
-            node = node.setdefault(ch, {})
-        node[""] = {}
-
-    def build(node: dict) -> str:
-        branches = [ch + build(sub) for ch, sub in sorted(node.items()) if ch]
-        if not branches:
-            return ""
-        if len(branches) == 1 and "" not in node:
-            return branches[0]
-        return "(?:" + "|".join(branches) + ")" + ("?" if "" in node else "")
-
-    return build(root)

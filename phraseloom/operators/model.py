@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from phraseloom.functions.bm25 import bm25, can_reach
 from phraseloom.operators.corpus import (
+    join_frequencies,
     phrase_counts,
     phrase_profile,
     repeated_phrases,
@@ -19,7 +20,8 @@ from phraseloom.params import DEFAULTS, Params
 def scoring_inputs(phrases: DataFrame, counts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """(doc_id, phrase, tf, cf, dl): document phrases with their corpus
     frequency. The document length already rides on the phrase row."""
-    return phrases.join(repeated_phrases(counts, p), "phrase").select("doc_id", "phrase", "tf", "cf", "dl")
+    joined = join_frequencies(phrases, counts, lambda c: repeated_phrases(c, p))
+    return joined.select("doc_id", "phrase", "tf", "cf", "dl")
 
 
 def with_score(rows: DataFrame, stats: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -35,15 +37,15 @@ def bm25_scores(phrases: DataFrame, counts: DataFrame, stats: DataFrame, p: Para
 
 
 def doc_keyphrases(phrases: DataFrame, counts: DataFrame, stats: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Scores that reach the threshold. Phrases that cannot reach it leave
-    before the join: they are the frequent ones, so the join has no hot key."""
-    reachable = (
-        repeated_phrases(counts, p)
-        .crossJoin(F.broadcast(stats))
-        .where(can_reach(F.col("n"), F.col("cf"), p.min_bm25, p))
-    )
+    """Scores that reach the threshold. Phrases that cannot reach it, the most
+    frequent ones, leave the counts before the join."""
+
+    def reachable(c: DataFrame) -> DataFrame:
+        with_stats = repeated_phrases(c, p).crossJoin(F.broadcast(stats))
+        return with_stats.where(can_reach(F.col("n"), F.col("cf"), p.min_bm25, p))
+
     return (
-        phrases.join(reachable, "phrase")
+        join_frequencies(phrases, counts, reachable)
         .withColumn("bm25", bm25(F.col("n"), F.col("avgdl"), F.col("cf"), F.col("tf"), F.col("dl"), p))
         .where(F.col("bm25") >= p.min_bm25)
         .select("doc_id", "phrase", "bm25")

@@ -31,7 +31,8 @@ def request_records(bodies: DataFrame, body_col: str = "body", id_col: str = "re
     ``content`` is set only where it is a JSON string."""
     rows = (
         parse_requests(bodies, body_col, id_col)
-        .select("request_id", F.posexplode("values").alias("pos", "record"))
+        .select("request_id", F.posexplode_outer("values").alias("pos", "record"))
+        .where(F.col("pos").isNotNull())
         .select("request_id", "pos", "record.recordId", "record.data")
     )
     value = F.expr("try_variant_get(data, '$.content', 'variant')")

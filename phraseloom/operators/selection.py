@@ -26,12 +26,13 @@ def sampled_documents(docs: DataFrame, p: Params = DEFAULTS, id_col: str = "doc_
     return docs.join(chosen.select(id_col), id_col, "left_semi")
 
 
-def spread(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Tokenizing is work for the CPU. When a scan gives fewer tasks than there
-    are cores (a small input by definition) distribute its rows; a large input
-    already has more tasks than cores and is left where it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, id_col) if df.rdd.getNumPartitions() < cores else df
+def spread(scan: DataFrame) -> DataFrame:
+    """Tokenizing is work for the CPU. Where a scan gives fewer tasks than
+    there are cores (a small file, or one with few row groups), distribute its
+    rows; a large table has more tasks than cores and stays as it is. For plain
+    scans: asking a plan with a shuffle for its partitions would run it."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def split_rejects(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:

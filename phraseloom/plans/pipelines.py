@@ -16,7 +16,7 @@ from phraseloom.operators.model import doc_keyphrases, phrase_model
 from phraseloom.operators.phrases import doc_phrases, phrase_bags
 from phraseloom.operators.ranking import document_keyphrases, document_matches, keyphrase_lists
 from phraseloom.operators.records import NO_PHRASE, record_key, request_records, response_record, responses
-from phraseloom.operators.selection import sampled_documents, split_rejects, spread
+from phraseloom.operators.selection import sampled_documents
 from phraseloom.operators.summary import document_summaries, summary, vocabulary, with_vocabulary
 from phraseloom.operators.tagging import Tagger
 from phraseloom.params import DEFAULTS, Params
@@ -26,10 +26,8 @@ from phraseloom.staging import Workspace, stage
 def corpus_bags(
     docs: DataFrame, tagger: Tagger | None = None, p: Params = DEFAULTS, title_col: str | None = None
 ) -> DataFrame:
-    """Phrase bags of the documents that have text."""
-    columns = ["doc_id", "text"] + ([title_col] if title_col else [])
-    good, _ = split_rejects(docs.select(*columns))
-    return phrase_bags(spread(good), tagger, p, title_col=title_col)
+    """Phrase bags of the documents; a row without text has no phrases."""
+    return phrase_bags(docs, tagger, p, title_col=title_col)
 
 
 def build_model(
@@ -99,7 +97,7 @@ def analyze_records(
     records = request_records(bodies).withColumn("doc_id", record_key())
     asked = records.where(F.col("problem").isNull()).select("doc_id", F.col("content").alias("text"))
     # Kept as one table: its lengths tell which records hold no phrase at all.
-    bags = stage(phrase_bags(spread(asked), tagger, p), "bags", workspace)
+    bags = stage(phrase_bags(asked, tagger, p), "bags", workspace)
     lists = keyphrase_lists(rank_bags(bags, model, p))
     found = bags.select("doc_id", "dl").join(lists, "doc_id", "left")
     problem = F.coalesce(F.col("problem"), F.when(F.col("dl") == 0, NO_PHRASE))
