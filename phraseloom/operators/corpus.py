@@ -92,7 +92,7 @@ def stats_of_profile(profile: DataFrame) -> DataFrame:
         F.sum(F.when(lost & (F.col("occurrences") == F.col("dl")), 1).otherwise(0)).alias("emptied"),
     )
     n = F.coalesce(F.sum(F.col("docs") - F.col("emptied")), F.lit(0))
-    return by_length.agg(n.alias("n"), F.bround(F.sum("kept") / n, 0).alias("avgdl"))
+    return by_length.agg(n.alias("n"), F.bround(F.try_divide(F.sum("kept"), n), 0).alias("avgdl"))
 
 
 def stats_by_join(phrases: DataFrame, counts: DataFrame, p: Params = DEFAULTS) -> DataFrame:

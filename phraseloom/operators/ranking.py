@@ -8,11 +8,28 @@ from pyspark.sql import functions as F
 from phraseloom.params import DEFAULTS, Params
 
 
-def document_matches(phrases: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc_id, phrase, bm25). The model has one row per phrase, so Spark may
-    broadcast it when its measured size allows, and may split a phrase that
-    very many documents share when it does not."""
-    return phrases.join(model, "phrase").select("doc_id", "phrase", "bm25")
+def broadcast_matches(phrases: DataFrame, model: DataFrame) -> DataFrame:
+    """For a model known to be small: no phrase is shuffled."""
+    return phrases.join(F.broadcast(model), "phrase").select("doc_id", "phrase", "bm25")
+
+
+def salted_matches(phrases: DataFrame, model: DataFrame, salts: int) -> DataFrame:
+    """For a model of any size. New documents may share a phrase that was rare
+    in the corpus of the model, and nothing tells which; so every phrase is
+    spread over ``salts`` keys by document, and the model, one row per phrase
+    and small beside the documents, is repeated for each. Spark may split a
+    salted key further, as both sides come straight from a shuffle."""
+    salted = phrases.select("doc_id", "phrase", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
+    repeated = model.select("phrase", "bm25", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return salted.join(repeated, ["phrase", "salt"]).select("doc_id", "phrase", "bm25")
+
+
+def document_matches(phrases: DataFrame, model: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """(doc_id, phrase, bm25) of the phrases that are in the model. The model is
+    a written table, so counting it reads file footers only."""
+    if model.count() <= p.broadcast_model_rows:
+        return broadcast_matches(phrases, model)
+    return salted_matches(phrases, model, p.salts)
 
 
 def rank_key(score: Column, p: Params = DEFAULTS) -> Column:

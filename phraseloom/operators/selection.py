@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phraseloom.functions.patterns import BLANK
 from phraseloom.params import DEFAULTS, Params
 
 
@@ -38,7 +39,7 @@ def spread(scan: DataFrame) -> DataFrame:
 def split_rejects(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents with text, rows without any and the reason)."""
     reason = F.when(F.col(text_col).isNull(), "text is missing").when(
-        F.trim(text_col) == "", "text is empty"
+        ~F.col(text_col).rlike(f"[^{BLANK}]"), "text is blank"
     )
     judged = docs.withColumn("reason", reason)
     return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())

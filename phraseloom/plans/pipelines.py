@@ -1,7 +1,8 @@
 """The jobs a user calls: build, extract, summarize, analyze, enrich.
 
 Inputs are DataFrames of documents with a unique ``doc_id`` and a ``text``;
-outputs are lazy DataFrames. What several stages read is written once; pass a
+outputs are lazy DataFrames. A ``model`` to score with is a written table
+(``read_model``). What several stages read is written once; pass a
 ``workspace`` to have those tables removed when the job is over.
 """
 
@@ -56,7 +57,7 @@ def score_corpus(
 
 
 def rank_bags(bags: DataFrame, model: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    return document_keyphrases(document_matches(doc_phrases(bags), model), p)
+    return document_keyphrases(document_matches(doc_phrases(bags), model, p), p)
 
 
 def extract_keyphrases(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phraseloom.functions.columns import file_type
+from phraseloom.functions.patterns import BLANK
 from phraseloom.functions.text import html_to_text
 
 TEXT_TYPES = ("txt", "text", "md", "csv", "log")
@@ -21,7 +22,8 @@ def _binary(spark: SparkSession, root: str, folder: str, glob: str | None) -> Da
 
 def list_files(spark: SparkSession, root: str, folder: str = "", glob: str | None = None) -> DataFrame:
     """(file, length, modified) of everything below ``root/folder``. Contents
-    are not read. A listing that fails fails the job."""
+    are not read. A listing that fails fails the job. Files of length zero are
+    not listed: Spark's file scan skips them."""
     return _binary(spark, root, folder, glob).select(
         F.col("path").alias("file"), "length", F.col("modificationTime").alias("modified")
     )
@@ -47,7 +49,7 @@ def fetch_documents(
     reason = (
         F.when(~kind.isin(*TEXT_TYPES, *HTML_TYPES), F.concat(F.lit("unsupported file type: "), kind))
         .when(~F.is_valid_utf8("content"), "not valid UTF-8")
-        .when(F.trim("content") == "", "file is empty")
+        .when(~F.col("content").rlike(f"[^{BLANK}]"), "file is blank")
     )
     judged = raw.withColumn("reason", reason)
     documents = judged.where(F.col("reason").isNull()).select(
