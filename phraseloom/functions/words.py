@@ -81,7 +81,7 @@ def closes_phrase(token: Column, lexicon: lx.Lexicon, min_length: int) -> Column
 def singular(token: Column) -> Column:
     """Singular of one lower-cased English word. Applied to verbs and
     adjectives as well as to nouns."""
-    irregular = F.create_map(*[F.lit(x) for pair in lx.IRREGULAR.items() for x in pair])
+    irregular = F.expr("map(%s)" % ", ".join(f"'{a}', '{b}'" for a, b in lx.IRREGULAR.items()))
     case = F.when(token.isin(*lx.IRREGULAR), F.element_at(irregular, token))
     # Everything else that changes ends in s or in men.
     case = case.when(~(token.endswith("s") | token.endswith("men")), token)

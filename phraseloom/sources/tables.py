@@ -42,3 +42,9 @@ def read_model(spark: SparkSession, path: str) -> DataFrame:
 
 def write_enriched(enriched: DataFrame, path: str) -> None:
     enriched.write.mode("overwrite").partitionBy("filetype").parquet(path)
+
+
+def write_bucketed(docs: DataFrame, table: str, buckets: int, id_col: str = "doc_id") -> None:
+    """Documents stored by id. Joining a summary's key phrases back to the text
+    then moves the key phrases only; from a plain table the text moves once."""
+    docs.write.mode("overwrite").bucketBy(buckets, id_col).sortBy(id_col).saveAsTable(table)

@@ -13,6 +13,7 @@ from phraseloom import PandasTagger, build_model
 from phraseloom.operators import corpus, model, phrases, ranking
 from phraseloom.params import DEFAULTS
 from phraseloom.plans import pipelines
+from phraseloom.sources import tables
 
 
 def final_plan(df) -> str:
@@ -141,3 +142,18 @@ def test_ranking_and_collecting_share_one_shuffle(scan):
     known = scan.select(F.col("lang").alias("phrase"), F.lit(6.0).alias("bm25"))
     plan = executed(ranking.keyphrase_lists(pipelines.rank_bags(bags, known)))
     assert plan.count("Exchange hashpartitioning(doc_id") == 1
+
+
+def test_documents_bucketed_by_id_are_not_shuffled_again(spark, scan, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS shelf LOCATION '{tmp_path}/shelf'")
+    try:
+        tables.write_bucketed(scan.select("doc_id", "text"), "shelf.docs", 8)
+        docs = spark.table("shelf.docs")
+        known = scan.select(F.col("lang").alias("phrase"), F.lit(6.0).alias("bm25"))
+        plan = executed(pipelines.summarize(docs, known)).split("SortMergeJoin [doc_id")[1]
+        left = plan[: plan.index("Exchange")]
+        assert "Scan parquet spark_catalog.shelf.docs" in left
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS shelf CASCADE")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
