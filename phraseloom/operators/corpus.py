@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phraseloom.params import DEFAULTS, Params
 
@@ -51,27 +52,37 @@ def drop_rare(phrases: DataFrame, counts: DataFrame, p: Params = DEFAULTS) -> Da
     return join_frequencies(phrases, counts, lambda c: repeated_phrases(c, p)).drop("cf")
 
 
+def holder_marks(phrases: DataFrame) -> dict[str, Column]:
+    """Long columns that tell documents apart: the id itself, or a 128-bit
+    digest of any other kind of id. Longs keep the aggregate that carries them
+    a hash aggregate, and a path of some hundred bytes out of the shuffle."""
+    if isinstance(phrases.schema["doc_id"].dataType, T.IntegralType):
+        return {"holder": F.col("doc_id").cast("long")}
+    return {"holder": F.xxhash64("doc_id"), "holder2": F.xxhash64(F.lit(1), "doc_id")}
+
+
 def phrase_profile(phrases: DataFrame) -> DataFrame:
-    """(phrase, tf, dl, docs, holder, cf), partitioned by phrase.
+    """(phrase, tf, dl, docs, holder.., cf), partitioned by phrase.
 
     A score depends on a document only through (tf, dl). Counting the documents
     per (phrase, tf, dl) before anything is grouped by phrase alone turns a
     phrase that a third of the corpus holds, or a text copied many times, into
-    as many rows as it has distinct pairs, so no phrase is a hot key. ``holder`` is
-    one document of the group; for a phrase that occurs once it is *the*
+    as many rows as it has distinct pairs, so no phrase is a hot key. ``holder``
+    marks one document of the group; for a phrase that occurs once it is *the*
     document.
     """
+    marks = holder_marks(phrases)
     cells = phrases.groupBy("phrase", "tf", "dl").agg(
-        F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("holder")
+        F.count(F.lit(1)).alias("docs"), *[F.min(mark).alias(name) for name, mark in marks.items()]
     )
     whole_phrase = Window.partitionBy("phrase")
-    return (
-        cells.repartition("phrase")
-        .withColumn("cf", F.sum(F.col("tf") * F.col("docs")).over(whole_phrase))
-        # Keeps one column set in every reader of the profile, which lets Spark
-        # reuse the exchange: the corpus is read and counted once per query.
-        .where(F.col("holder").isNotNull())
-    )
+    profile = cells.repartition("phrase").withColumn("cf", F.sum(F.col("tf") * F.col("docs")).over(whole_phrase))
+    # Reading the marks everywhere gives every reader of the profile the same
+    # columns, which lets Spark reuse the exchange: the corpus is read and
+    # counted once per query.
+    for name in marks:
+        profile = profile.where(F.col(name).isNotNull())
+    return profile
 
 
 def stats_of_profile(profile: DataFrame) -> DataFrame:
@@ -82,10 +93,9 @@ def stats_of_profile(profile: DataFrame) -> DataFrame:
     costs its holder one occurrence; holders left with none drop out of n.
     """
     once = F.col("cf") == 1
-    by_holder = profile.groupBy(F.when(once, F.col("holder")).alias("loser"), "dl").agg(
-        F.sum(F.col("tf") * F.col("docs")).alias("occurrences")
-    )
-    lost = F.col("loser").isNotNull()
+    losers = [F.when(once, F.col(c)).alias(f"loser_{c}") for c in profile.columns if c.startswith("holder")]
+    by_holder = profile.groupBy(*losers, "dl").agg(F.sum(F.col("tf") * F.col("docs")).alias("occurrences"))
+    lost = F.col("loser_holder").isNotNull()
     by_length = by_holder.groupBy("dl").agg(
         F.expr("sum(occurrences) div dl").alias("docs"),
         F.sum(F.when(~lost, F.col("occurrences")).otherwise(0)).alias("kept"),

@@ -78,6 +78,13 @@ def test_counting_in_documents_needs_no_shuffle(scan):
     assert "Exchange" not in executed(corpus.document_lengths(phrases.phrase_bags(scan)))
 
 
+@pytest.mark.parametrize("id_type", ["bigint", "string"])
+def test_aggregates_hash_whatever_the_id_is(scan, id_type):
+    docs = scan.withColumn("doc_id", F.col("doc_id").cast(id_type))
+    plan = executed(build_model(docs))
+    assert "SortAggregate" not in plan and "ReusedExchange" in final_plan(build_model(docs))
+
+
 def test_averaging_reuses_the_partitioning_by_phrase(model_plan):
     top = model_plan[: model_plan.index("BroadcastNestedLoopJoin")]
     assert top.count("HashAggregate") == 2 and "Exchange" not in top

@@ -110,7 +110,9 @@ def test_other_minimum_counts(spark, min_count):
 
 def test_both_ways_to_the_corpus_scalars_agree(spark):
     dp = frame(spark, random_corpus(3))
-    assert corpus.corpus_stats(dp).first() == corpus.stats_by_join(dp, corpus.phrase_counts(dp)).first()
+    by_join = corpus.stats_by_join(dp, corpus.phrase_counts(dp)).first()
+    assert corpus.corpus_stats(dp).first() == by_join
+    assert corpus.corpus_stats(dp.withColumn("doc_id", F.hash("doc_id"))).first() == by_join
 
 
 @pytest.mark.parametrize("share", [0.0, 0.01, 0.05, 0.9])
@@ -135,6 +137,7 @@ def test_frequent_phrases_are_bounded_by_the_share(spark):
 
 def test_copies_collapse_in_the_profile(spark):
     bags = {f"d{i}": {"copied": 2, "text": 1} for i in range(500)} | {"x": {"copied": 2, "text": 1, "more": 4}}
+    assert corpus.phrase_profile(frame(spark, bags).withColumn("doc_id", F.hash("doc_id"))).count() == 5
     cells = {(r.phrase, r.tf, r.dl): (r.docs, r.cf) for r in corpus.phrase_profile(frame(spark, bags)).collect()}
     assert cells == {
         ("copied", 2, 3): (500, 1002), ("text", 1, 3): (500, 501),
