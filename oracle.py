@@ -11,7 +11,8 @@ from phraseloom.functions import lexicon as lx
 from phraseloom.functions.text import ENTITIES
 
 BLANK = r"\t\n\x0B\f\r\x{85}\p{Z}"
-TOKEN = rf"[\p{{L}}\p{{N}}]+(?:[-''][\p{{L}}\p{{N}}]+)*|[^{BLANK}]"
+TOKEN = rf"[\p{{L}}\p{{N}}]+(?:[-''’][\p{{L}}\p{{N}}]+)*|[^{BLANK}]"
+ENDING = r"(?i)([\p{L}\p{N}])([''’](?:s|re|ve|ll|d|m)|n[''’]t)([^\p{L}\p{N}]|$)"
 ENGLISH_DOCS = "SELECT doc_id, text FROM documents WHERE lang = 'en'"
 FILE = "source || '/' || doc_id || '.txt'"
 
@@ -52,11 +53,18 @@ def singular_sql(w: str) -> str:
 CONTENT = r"(regexp_matches(tag, 'NN|JJ|VB') AND regexp_full_match(token, '[\p{L}\p{Nd}]+') AND length(token) > 2)"
 
 
+def split_endings(x: str) -> str:
+    # twice, as neighbours share a character
+    for _ in range(2):
+        x = rf"regexp_replace({x}, '{ENDING}', '\1 \2\3', 'g')"
+    return x
+
+
 def tokens_sql(docs: str) -> str:
     """doc_id, pos, token"""
     return (
         "SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token "
-        f"FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS t FROM ({docs}) d) x"
+        f"FROM (SELECT doc_id, regexp_extract_all({split_endings('text')}, '{TOKEN}') AS t FROM ({docs}) d) x"
     )
 
 

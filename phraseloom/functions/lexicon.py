@@ -53,8 +53,8 @@ ENGLISH_CLOSED = {
     "MD": _w("can cannot could may might must shall should will would"),
     "WDT": _w("what when where which who whom whose why how whatever whenever wherever whichever whoever"),
     "RB": _w(
-        "again ago almost already also always away else enough even ever far here hence however instead "
-        "just maybe meanwhile moreover never not now often once otherwise perhaps quite rather seldom "
+        "again ago almost already also always away better else enough even ever far here hence however instead "
+        "just later maybe meanwhile moreover much never not now often once otherwise perhaps quite rather seldom "
         "sometimes soon still then therefore thus together too twice very well"
     ),
     "EX": _w("there"),
@@ -72,7 +72,7 @@ ENGLISH_KNOWN = {
         "king ring spring string thing morning evening wedding building bed seed need speed breed"
     ),
     "JJ": _w(
-        "costly curly daily deadly early elderly friendly holy likely lonely lovely monthly only orderly "
+        "costly curly daily deadly early elderly friendly holy likely lonely lovely monthly orderly "
         "silly ugly unlikely weekly yearly"
     ),
 }

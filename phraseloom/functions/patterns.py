@@ -7,9 +7,12 @@ from __future__ import annotations
 BLANK = r"\t\n\x0B\f\r\x{85}\p{Z}"
 ALNUM = r"\p{L}\p{N}"
 
+# Endings that are words of their own, as in "nation's" and "doesn't": the word
+# before them counts, the ending breaks the phrase. (Java only: look-around.)
+CLITIC = rf"(?i)(?=['’n])(?<=[{ALNUM}])(['’](?:s|re|ve|ll|d|m)|n['’]t)(?![{ALNUM}])"
 # A word with inner hyphens or apostrophes is one token; every other
 # non-blank character is a token of its own.
-TOKEN = rf"[{ALNUM}]+(?:[-'][{ALNUM}]+)*|[^{BLANK}]"
+TOKEN = rf"[{ALNUM}]+(?:[-'’][{ALNUM}]+)*|[^{BLANK}]"
 LETTERS_OR_DIGITS = r"^[\p{L}\p{Nd}]+$"
 DIGITS = r"^\p{Nd}+$"
 

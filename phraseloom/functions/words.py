@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from phraseloom.functions import lexicon as lx
-from phraseloom.functions.patterns import DIGITS, LETTERS_OR_DIGITS, TOKEN
+from phraseloom.functions.patterns import CLITIC, DIGITS, LETTERS_OR_DIGITS, TOKEN
 
 
 def tokenize(text: Column) -> Column:
     """array<string> of tokens; punctuation marks are tokens of their own."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.regexp_replace(text, CLITIC, " $1"), F.lit(TOKEN), F.lit(0))
 
 
 def is_letters_or_digits(token: Column) -> Column:

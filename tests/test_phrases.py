@@ -58,6 +58,22 @@ def test_phrases_cross_sentence_text_and_line_ends_only_at_marks(spark):
     assert [r.phrase for r in ph.candidate_phrases(df).collect()] == ["rare disease studied", "other nation"]
 
 
+@pytest.mark.parametrize(
+    "text, phrases",
+    [
+        ("The nation's health care bill is huge.", ["nation", "health care bill", "huge"]),
+        ("It doesn't wash, and we need to better understand it.", ["does", "wash", "need", "understand"]),
+        ("She said it in much more detail a few years later, though.", ["said", "more detail", "few year"]),
+        ("The co-author pays $1,443 for 17.8 percent.", ["pay", "percent"]),
+        ("Only people suffering from it were helped in 2018.", ["person suffering", "were helped"]),
+        ("Don’t use the systems of the United States of America.", ["use", "system", "united state", "america"]),
+    ],
+)
+def test_plain_english(spark, text, phrases):
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert [r.phrase for r in ph.candidate_phrases(df).orderBy("n").collect()] == phrases
+
+
 def test_texts_without_phrases(spark):
     df = spark.createDataFrame([(1, ""), (2, None), (3, "of the"), (4, "drug")], "doc_id int, text string")
     bags = {r.doc_id: (r.dl, r.phrases) for r in ph.phrase_bags(df).collect()}

@@ -21,7 +21,9 @@ def column(spark, values, expr):
     "text, tokens",
     [
         ("Old drugs, new uses.", ["Old", "drugs", ",", "new", "uses", "."]),
-        ("It's co-author-level work", ["It's", "co-author-level", "work"]),
+        ("It's co-author-level work", ["It", "'", "s", "co-author-level", "work"]),
+        ("The nation's bill DOESN'T", ["The", "nation", "'", "s", "bill", "DOES", "N'T"]),
+        ("I'd've said o'clock 'so they're", ["I", "'", "d", "'", "ve", "said", "o'clock", "'", "so", "they", "'", "re"]),
         ("a--b -c d-", ["a", "-", "-", "b", "-", "c", "d", "-"]),
         ("dogs' $1,443 x²", ["dogs", "'", "$", "1", ",", "443", "x²"]),
         ("x y z\x85w", ["x", "y", "z", "w"]),
