@@ -168,10 +168,10 @@ def fallback_sql(text: str) -> str:
 def page_text_sql(html: str = "html") -> str:
     x = html
     for pattern, replacement in (
-        (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "' '"),
-        (r"(?s)<!--.*?-->", "' '"),
-        (r"(?i)</(p|div|li|h[1-6]|article|title)>|<br ?/?>", "chr(10)"),
-        (r"(?s)<[^>]*>", "''"),
+        (r"(?is)<(?:script|style)(?:[ \t\r\n/][^<>]*)?>.*?(?:</(?:script|style)[^<>]*>|\z)", "' '"),
+        (r"(?s)<!--.*?(?:-->|\z)", "' '"),
+        (r"(?i)</(?:p|div|li|h[1-6]|article|title)>|<br ?/?>", "chr(10)"),
+        (r"<[^<>]*>", "''"),
     ):
         x = f"regexp_replace({x}, '{pattern}', {replacement}, 'g')"
     for reference, character in ENTITIES:

@@ -1,4 +1,6 @@
-"""Regular expressions, in the subset Java and RE2 share unless noted."""
+"""Regular expressions. Each reads a text once, whatever it holds: classes that
+follow one another do not overlap, and repeats are possessive where Java would
+otherwise step back or use its stack."""
 
 from __future__ import annotations
 
@@ -8,17 +10,19 @@ BLANK = r"\t\n\x0B\f\r\x{85}\p{Z}"
 ALNUM = r"\p{L}\p{N}"
 
 # Endings that are words of their own, as in "nation's" and "doesn't": the word
-# before them counts, the ending breaks the phrase. (Java only: look-around.)
+# before them counts, the ending breaks the phrase.
 CLITIC = rf"(?i)(?=['’n])(?<=[{ALNUM}])(['’](?:s|re|ve|ll|d|m)|n['’]t)(?![{ALNUM}])"
 # A word with inner hyphens or apostrophes is one token; every other
 # non-blank character is a token of its own.
-TOKEN = rf"[{ALNUM}]+(?:[-'’][{ALNUM}]+)*|[^{BLANK}]"
+# Possessive, so that Java needs no stack for a word of very many parts.
+TOKEN = rf"[{ALNUM}]++(?:[-'’][{ALNUM}]++)*+|[^{BLANK}]"
 LETTERS_OR_DIGITS = r"^[\p{L}\p{Nd}]+$"
 DIGITS = r"^\p{Nd}+$"
 
 SENTENCE_END = "[.!?]"
 BLANK_RUN = f"[{BLANK}]+"
-TRAILING_BLANKS = f"[{BLANK}]+$"
+# Starts only where a run starts, so a long run inside the text is read once.
+TRAILING_BLANKS = f"(?<![{BLANK}])[{BLANK}]++$"
 
 
 def at_least_words(n: int) -> str:
@@ -28,6 +32,6 @@ def at_least_words(n: int) -> str:
         return ""
     if n == 1:
         return r"(?s)."
-    return f"^[^{BLANK}]*" + f"[{BLANK}]+[^{BLANK}]+" * (n - 2) + f"[{BLANK}]+[^{BLANK}]"
+    return f"^[^{BLANK}]*+" + f"[{BLANK}]++[^{BLANK}]++" * (n - 2) + f"[{BLANK}]++[^{BLANK}]"
 
 

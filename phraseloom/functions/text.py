@@ -47,12 +47,14 @@ ENTITIES = (
     ("&ouml;", "ö"), ("&uuml;", "ü"), ("&szlig;", "ß"), ("&ntilde;", "ñ"),
     ("&amp;", "&"),  # last: what it leaves is text
 )
-# Scripts and styles go first: their bodies may hold what looks like tags.
+# Scripts and styles go first: their bodies may hold what looks like tags. What
+# is never closed reaches to the end of the page. A tag ends before the next
+# one begins, so a page of stray brackets is still read once.
 MARKUP = (
-    (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "),
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?i)</(p|div|li|h[1-6]|article|title)>|<br ?/?>", "\n"),
-    (r"(?s)<[^>]*>", ""),
+    (r"(?is)<(?:script|style)(?:[ \t\r\n/][^<>]*+)?>.*?(?:</(?:script|style)[^<>]*+>|\z)", " "),
+    (r"(?s)<!--.*?(?:-->|\z)", " "),
+    (r"(?i)</(?:p|div|li|h[1-6]|article|title)>|<br ?/?>", "\n"),
+    (r"<[^<>]*+>", ""),
 )
 LAYOUT = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from phraseloom.functions.text import html_to_text, is_summary_sentence, title, word_count
 from phraseloom.operators import ranking
 from phraseloom.operators import summary as sm
+from phraseloom.operators.phrases import phrase_bags
 from phraseloom.params import DEFAULTS
 from tests import brute
 
@@ -129,3 +130,35 @@ def test_html(spark):
     df = spark.createDataFrame([(page,), ("",), (None,)], "x string")
     got = [r.t for r in df.select(html_to_text(F.col("x")).alias("t")).collect()]
     assert got == ["Fish & chips <b>\nCafé &lt;bold", "", None]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>a</p><script>b </p> c", "a"),
+        ("<p>a</p><!-- b <p>c</p>", "a"),
+        ("<script src='x'>b</script >a<STYLE>c</STYLE>d", "a d"),
+        ("<scripted>a</scripted> < b", "a < b"),
+        ("1 < 2 and <b>3</b> > 2", "1 < 2 and 3 > 2"),
+    ],
+)
+def test_html_that_is_not_closed(spark, page, text):
+    df = spark.createDataFrame([(page,)], "x string")
+    assert df.select(html_to_text(F.col("x")).alias("t")).first().t == text
+
+
+N = 200_000
+HARD = ["a-" * N, "foo-bar'" * N, "word " * N, "x" * N, "| " * N, " " * N + "x", "." * N, "it's " * N, "the word. " * N]
+HARD_PAGES = ["<!--" * N, "<script>" * N, "<script " * N, "<" * N, "<br " * N, "<script>a" + "</script" * N, "a" + " \n" * N + "b"]
+
+
+def test_hard_texts_are_read_in_one_pass(spark):
+    """Each took minutes, or the stack of the JVM, with less careful patterns."""
+    texts = spark.createDataFrame(list(enumerate(HARD)), "doc_id int, text string")
+    lengths = {r.doc_id: r.dl for r in phrase_bags(texts).collect()}
+    assert lengths == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: N}
+    vocab = texts.withColumn("vocab", F.expr("array(named_struct('phrase', 'word', 'bm25', 5d))"))
+    assert sm.document_summaries(vocab).where(F.size("summary") > 0).count() == len(HARD)
+    assert texts.select(word_count(F.col("text")).alias("n")).where("n > 0").count() == len(HARD)
+    pages = spark.createDataFrame([(p,) for p in HARD_PAGES], "x string")
+    assert pages.select(html_to_text(F.col("x")).alias("t")).where("t is not null").count() == len(HARD_PAGES)
