@@ -271,9 +271,21 @@ def oracle_sql() -> dict[str, str]:
         "encoded_ids": f"SELECT doc_id, to_base64(encode({FILE})) AS id, {FILE} AS decoded FROM documents",
         "enriched_documents": summed
         + f"SELECT to_base64(encode({FILE})) AS id, doc_id || '.txt' AS filename, 'txt' AS filetype, text AS content, "
-        "CAST(to_json(summary) AS VARCHAR) AS summary, CAST(to_json(coalesce(terms, [])) AS VARCHAR) AS terms, "
-        "CAST(NULL AS TIMESTAMP) AS creation_ts "
+        "CAST(to_json(summary) AS VARCHAR) AS summary, CAST(to_json(coalesce(terms, [])) AS VARCHAR) AS terms "
         "FROM (SELECT * FROM documents WHERE lang = 'en') d JOIN summaries USING (doc_id) LEFT JOIN terms USING (doc_id)",
+        "filetype_facets": with_(
+            chain(),
+            corpus(),
+            chain(
+                f"SELECT {FILE} AS doc_id, text FROM documents UNION ALL "
+                f"SELECT 'pages/' || page_id || '.html' AS doc_id, {page_text_sql()} AS text FROM pages",
+                "f_",
+            ),
+            scored("f_"),
+        )
+        + "SELECT split_part(doc_id, '.', 2) AS filetype, count(*) AS docs, "
+        "CAST(sum(CASE WHEN doc_id IN (SELECT doc_id FROM f_kp) THEN 1 ELSE 0 END) AS BIGINT) AS with_terms "
+        "FROM f_src GROUP BY 1",
         "term_facets": ranked + "SELECT phrase AS term, count(*) AS docs FROM kp GROUP BY phrase",
         "request_records": "SELECT conv_id || '-' || turn AS request_id, CAST(pos AS INTEGER) AS pos, "
         "conv_id || '-' || turn || kind AS recordId, CASE WHEN pos = 0 THEN text END AS content, problem FROM conversations, "

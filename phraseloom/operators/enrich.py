@@ -33,5 +33,6 @@ def term_facets(enriched: DataFrame) -> DataFrame:
     return enriched.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
 
 
-def facet(enriched: DataFrame, field: str) -> DataFrame:
-    return enriched.groupBy(field).agg(F.count(F.lit(1)).alias("docs"))
+def facet(enriched: DataFrame, field: str, *more: Column) -> DataFrame:
+    """Documents per value of a field, with further aggregates if asked."""
+    return enriched.groupBy(field).agg(F.count(F.lit(1)).alias("docs"), *more)
