@@ -43,19 +43,23 @@ def fallback(pieces: Column, p: Params = DEFAULTS) -> Column:
     return F.array_repeat(F.get(pieces, F.lit(0)), F.least(F.lit(p.summary_sentences), F.size(pieces)))
 
 
+def best_sentences(pieces: Column, vocab: Column, p: Params = DEFAULTS) -> Column:
+    """array<int>: the best scoring sentences, back in text order."""
+    scored = F.transform(pieces, lambda s, i: F.struct(sentence_total(s, vocab, p).alias("total"), i.alias("sentence")))
+    hits = F.filter(scored, lambda m: m["total"] > 0)
+    order = F.transform(
+        hits, lambda m: F.struct((-rank_key(m["total"], p)).alias("worse"), m["sentence"].alias("sentence"))
+    )
+    best = F.slice(F.sort_array(order), 1, p.summary_sentences)
+    return F.sort_array(F.transform(best, lambda m: m["sentence"]))
+
+
 def summary(text: Column, vocab: Column, p: Params = DEFAULTS) -> Column:
-    """array<string>: the best sentences in text order, as they stand."""
+    """array<string>: the best sentences in text order, as they stand. A
+    document that matched nothing is not searched."""
 
-    def pick(pieces: Column) -> Column:
-        scored = F.transform(
-            pieces, lambda s, i: F.struct(sentence_total(s, vocab, p).alias("total"), i.alias("sentence"))
-        )
-        hits = F.filter(scored, lambda m: m["total"] > 0)
-        order = F.transform(
-            hits, lambda m: F.struct((-rank_key(m["total"], p)).alias("worse"), m["sentence"].alias("sentence"))
-        )
-        best = F.slice(F.sort_array(order), 1, p.summary_sentences)
-        chosen = F.sort_array(F.transform(best, lambda m: m["sentence"]))
+    def pick(pieces: Column, v: Column) -> Column:
+        chosen = F.when(F.size(v) > 0, best_sentences(pieces, v, p))
         return let(
             chosen,
             lambda at: F.when(F.size(at) > 0, F.transform(at, lambda i: F.get(pieces, i))).otherwise(
@@ -63,7 +67,7 @@ def summary(text: Column, vocab: Column, p: Params = DEFAULTS) -> Column:
             ),
         )
 
-    return let(sentences(text), pick)
+    return let(vocab, lambda v: let(sentences(text), lambda pieces: pick(pieces, v)))
 
 
 def with_vocabulary(docs: DataFrame, lists: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -92,7 +96,7 @@ def sentence_hits(docs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 def sentence_scores(docs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """(doc_id, sentence, total) of the sentences that score."""
-    totals = F.transform(sentences(F.col("text")), lambda s: sentence_total(s, F.col("vocab"), p))
+    totals = let(F.col("vocab"), lambda v: F.transform(sentences(F.col("text")), lambda s: sentence_total(s, v, p)))
     return (
         docs.where(F.size("vocab") > 0)
         .select("doc_id", F.posexplode_outer(totals).alias("sentence", "total"))

@@ -23,8 +23,9 @@ class Params:
     # Averages over shuffled rows differ in their last bits between runs, so
     # ranks are taken on the score rounded to this many decimals.
     rank_decimals: int = 6
-    # A model of at most this many phrases (some ten megabytes) is broadcast;
-    # a larger one is joined on the phrase and one of this many salts.
+    # A model of at most this many phrases (some ten megabytes) is broadcast.
+    # Where a larger one is shuffled and the session does not split skewed
+    # joins, a phrase is spread over this many keys.
     broadcast_model_rows: int = 200_000
     salts: int = 32
     # summaries

@@ -123,25 +123,33 @@ def hot_rows(spark):
     return ids.select(F.col("id").alias("doc_id"), word.alias("phrase"))
 
 
-def test_a_phrase_in_a_third_of_all_rows_is_spread_over_tasks(spark, shuffled_joins):
+def test_a_phrase_in_a_third_of_all_rows_is_split(spark, shuffled_joins, tmp_path):
     rows = hot_rows(spark)
-    known = rows.select("phrase").distinct().withColumn("bm25", F.lit(6.0))
-    matches = ranking.salted_matches(rows, known, 32).withColumn("task", F.spark_partition_id())
-    per_task = matches.where("phrase = 'hot'").groupBy("task").count()
-    assert matches.count() == 120_000
-    assert per_task.count() > 4
-    assert per_task.agg(F.max("count")).first()[0] < 20_000
-    assert "SortMergeJoin(skew=true)" in final_plan(ranking.salted_matches(rows, known, 1).agg(F.count("bm25")))
+    rows.select("phrase").distinct().withColumn("bm25", F.lit(6.0)).write.parquet(str(tmp_path / "model"))
+    known = tables.read_model(spark, str(tmp_path / "model"))
+    p = replace(DEFAULTS, broadcast_model_rows=0)
+    assert "SortMergeJoin(skew=true)" in final_plan(ranking.document_matches(rows, known, p).agg(F.count("bm25")))
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        matches = ranking.document_matches(rows, known, p).withColumn("task", F.spark_partition_id())
+        per_task = matches.where("phrase = 'hot'").groupBy("task").count()
+        assert matches.count() == 120_000
+        assert per_task.count() > 4 and per_task.agg(F.max("count")).first()[0] < 20_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
 
 
 def test_ways_to_match_agree(spark, shuffled_joins):
     rows = hot_rows(spark)
     known = rows.where("doc_id % 5 < 2").select("phrase").distinct().withColumn("bm25", F.hash("phrase") / 7)
     plain = rows.join(known, "phrase").select("doc_id", "phrase", "bm25")
-    for p in (DEFAULTS, replace(DEFAULTS, broadcast_model_rows=0), replace(DEFAULTS, broadcast_model_rows=0, salts=3)):
-        got = ranking.document_matches(rows, known, p)
+    for got in (
+        ranking.document_matches(rows, known),
+        ranking.document_matches(rows, known, replace(DEFAULTS, broadcast_model_rows=0)),
+        ranking.salted_matches(rows, known, 3),
+    ):
         assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
-        assert ("BroadcastHashJoin" in executed(got)) == (p is DEFAULTS)
+    assert "BroadcastHashJoin" in executed(ranking.document_matches(rows, known))
 
 
 def test_ranking_and_collecting_share_one_shuffle(scan):
