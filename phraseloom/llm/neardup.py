@@ -15,9 +15,10 @@ probability of 6e-7.
 No bucket's pairs are emitted at large. First every member of a bucket meets
 the bucket's leader, one pair per member, of which each class confirms its
 best; pairs that are then still apart are confirmed too. Next, only members
-that are not connected with their bucket's leader meet the rest of the bucket,
-block by block, comparing signatures inside the task and emitting what passes.
-So every candidate pair is either connected already or has been compared.
+that are not connected with their bucket's leader meet the rest, block by block:
+signatures and then sets are compared inside the task, which emits a link only
+where it connects something new. So every candidate pair is either connected
+already or has been compared.
 
 A null text is empty; a document without words links with nothing and is its
 own component. Repeated rows are one class; rows that share an id are rows of
@@ -48,8 +49,8 @@ class MinHash:
     rows: int = 5
     seed: int = 7
     deviations: float = 6.0
-    # members of a bucket that one task compares with others at a time
-    block: int = 4096
+    # members that one task compares with others at a time
+    block: int = 1024
 
     @property
     def size(self) -> int:
@@ -198,11 +199,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
     return both.where(100 * common.cast("long") >= how.percent * union.cast("long")).select("a", "b")
 
 
-def links(
-    pairs: DataFrame, docs: DataFrame, classes: DataFrame, how: MinHash, edges: DataFrame | None = None
-) -> DataFrame:
-    """``edges`` and what ``pairs`` add to them: first the best pair of each
-    class is confirmed, then those whose ends are still apart."""
+def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, how: MinHash) -> DataFrame:
+    """The confirmed of ``pairs``: first the best pair of each class is
+    confirmed, then those whose ends are still apart."""
+    edges = None
     sets = stage(shingle_sets(pairs, docs, classes, how), "shingle-sets")
     best = pairs.groupBy(F.col("b").alias("of")).agg(F.max_by("a", "equal").alias("a"))
     best = best.select("a", F.col("of").alias("b"))
@@ -223,16 +223,23 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _compare(how: MinHash):
-    """Pairs of one block: members that are apart from their leader (odd)
-    with all members of the block, by signature."""
+    """New links of one block: members that are apart from their leader (odd)
+    with all members, by signature and then by set. What a link connects is
+    compared no more, so a block emits fewer links than it has members."""
     unused = how.words * 16 - how.size
     ones = tb.U64(0x1111111111111111)
 
     def run(table: pa.Table) -> pa.Table:
         odd = np.asarray(table.column("odd").combine_chunks().to_numpy(zero_copy_only=False), dtype=bool)
-        vertex, label, n = (table.column(c).to_numpy() for c in ("vertex", "label", "n"))
+        vertex, label = (table.column(c).to_numpy() for c in ("vertex", "label"))
+        label = label.copy()
         flat = table.column("signature").combine_chunks().flatten().to_numpy()
         signature = flat.reshape(-1, how.words).view(tb.U64)
+        sets = table.column("shingles").combine_chunks()
+        n = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.cumsum(n) - n
+        _, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        held = np.zeros(code.max(initial=0) + 1, dtype=bool)
         left, right = [], []
         rest = np.flatnonzero(~odd)
         for i in np.flatnonzero(odd).tolist():
@@ -242,41 +249,60 @@ def _compare(how: MinHash):
             d |= d >> tb.U64(1)
             d |= d >> tb.U64(2)
             equal = how.words * 16 - np.bitwise_count(d & ones).sum(axis=1, dtype=np.int64) - unused
-            hits = fit[equal >= how.fewest]
-            left.append(np.minimum(vertex[hits], vertex[i]))
-            right.append(np.maximum(vertex[hits], vertex[i]))
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate([*left, *empty]), "b": np.concatenate([*right, *empty])})
+            fit = fit[equal >= how.fewest]
+            if not len(fit):
+                continue
+            own = code[start[i] : start[i] + n[i]]
+            held[own] = True
+            at = np.repeat(start[fit] - (np.cumsum(n[fit]) - n[fit]), n[fit]) + np.arange(n[fit].sum())
+            common = np.add.reduceat(held[code[at]].astype(np.int64), np.cumsum(n[fit]) - n[fit])
+            held[own] = False
+            linked = fit[100 * common >= how.percent * (n[fit] + n[i] - common)]
+            for name, first in zip(*np.unique(label[linked], return_index=True), strict=True):
+                left.append(vertex[i])
+                right.append(vertex[linked[first]])
+                label[label == name] = label[i]
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
 
 
-def odd_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, how: MinHash) -> DataFrame:
-    """Pairs (a, b) inside buckets that have not met: those of members whose
-    label is not their leader's. ``members``: (key, vertex, leader, of)."""
+def odd_links(members: DataFrame, docs: DataFrame, classes: DataFrame, labels: DataFrame, how: MinHash) -> DataFrame:
+    """Links (a, b) inside buckets that the leaders did not find: those of
+    members whose label is not their leader's. ``members``: (key, vertex,
+    leader, of). Buckets that share members are one cluster, in which a class
+    has one row however many buckets it is in."""
     own = F.coalesce("label", "vertex").alias("label")
-    labelled = members.join(labels.withColumnRenamed("id", "vertex"), "vertex", "left").select(*members.columns, own)
+    labelled = members.where("of > 2").join(labels.withColumnRenamed("id", "vertex"), "vertex", "left")
     of_leader = labels.select(F.col("id").alias("leader"), F.col("label").alias("leader_label"))
-    labelled = labelled.join(of_leader, "leader", "left")
+    labelled = labelled.select(*members.columns, own).join(of_leader, "leader", "left")
     odd = F.col("label") != F.coalesce("leader_label", "leader")
-    labelled = stage(labelled.where("of > 2").withColumn("odd", odd), "members")
+    labelled = stage(labelled.withColumn("odd", odd), "members")
     # buckets with an odd member; the others are done
-    odds = labelled.where("odd").groupBy("key").agg(F.count(F.lit(1)).alias("odds"))
-    open_ = labelled.where(F.col("vertex") != F.col("leader")).join(stage(odds, "odd-buckets"), "key")
-    signed = open_.join(classes.select("vertex", "n", "signature"), "vertex")
-    # every block of odd members meets every block of the bucket
-    blocks = lambda count: F.ceil(count / how.block).cast("int")
-    place = lambda c, salt: F.pmod(F.xxhash64("vertex", F.lit(salt)), blocks(F.col(c))).cast("int")
-    steps = lambda c: F.sequence(F.lit(0), blocks(F.col(c)) - 1)
-    payload = ["key", "vertex", "label", "n", "signature"]
-    as_member = signed.select(
+    odds = stage(labelled.where("odd").select("key").distinct(), "odd-buckets")
+    open_ = labelled.join(odds, "key")
+    bonds = stage(open_.select(F.col("leader").alias("a"), F.col("vertex").alias("b")).where("a <> b").distinct(), "bonds")
+    clusters = components(bonds).toDF("vertex", "cluster")
+    each = open_.groupBy("vertex").agg(F.max("label").alias("label"), F.max("odd").alias("odd"))
+    each = stage(clusters.join(each, "vertex").join(classes.select("vertex", "signature"), "vertex"), "cluster-members")
+    sizes = each.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("of"), F.sum(F.col("odd").cast("long")).alias("odds")
+    )
+    sets = stage(shingle_sets(bonds, docs, classes, how), "cluster-sets")
+    whole = each.join(sets, "vertex").join(stage(sizes, "clusters"), "cluster")
+    # every block of odd members meets every block of the cluster
+    blocks = lambda c: F.ceil(F.col(c) / how.block).cast("int")
+    place = lambda c, salt: F.pmod(F.xxhash64("vertex", F.lit(salt)), blocks(c)).cast("int")
+    steps = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
+    payload = ["cluster", "vertex", "label", "signature", "shingles"]
+    as_member = whole.select(
         *payload, F.lit(False).alias("odd"), place("of", 1).alias("block"), F.explode(steps("odds")).alias("part")
     )
-    as_odd = signed.where("odd").select(
+    as_odd = whole.where("odd").select(
         *payload, F.lit(True).alias("odd"), F.explode(steps("of")).alias("block"), place("odds", 2).alias("part")
     )
-    met = as_member.unionByName(as_odd).groupBy("key", "block", "part").applyInArrow(_compare(how), "a long, b long")
-    return met.distinct()
+    met = as_member.unionByName(as_odd).groupBy("cluster", "block", "part")
+    return met.applyInArrow(_compare(how), "a long, b long")
 
 
 def near_duplicates(
@@ -308,11 +334,9 @@ def near_duplicates(
 
     labels = components(edges)
     members = members.select("key", "vertex", "leader", "of")
-    more = stage(odd_pairs(members, classes, labels, how), "odd-pairs")
+    more = stage(odd_links(members, rows, classes, labels, how), "odd-links")
     if not more.isEmpty():
-        more = stage(estimated(more, classes, how), "odd-candidates")
-        edges = links(more, rows, classes, how, edges)
-        labels = components(edges)
+        labels = components(stage(edges.unionByName(more), "links"))
 
     named = classes.select("vertex", "digest", "smallest").join(labels.toDF("vertex", "label"), "vertex", "left")
     named = named.withColumn("label", F.coalesce("label", "vertex"))

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phraseloom.staging import stage
+from phraseloom.functions.columns import let
 
 
 @dataclass(frozen=True)
@@ -80,11 +80,15 @@ def _value_of(match: Column) -> Column:
 def _pairs(value: Column) -> Column:
     """The character pairs of a string, as positions in the model."""
     # 1 to 66 for each character; 0 for any other
-    place = F.transform(
+    places = F.transform(
         F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.call_function("locate", c, F.lit(CHARACTERS))
     )
-    n = F.greatest(F.size(place) - 1, F.lit(0))
-    return F.zip_with(F.slice(place, F.lit(1), n), F.slice(place, F.lit(2), n), lambda a, b: a * SIDE + b)
+
+    def pairs(place: Column) -> Column:
+        n = F.greatest(F.size(place) - 1, F.lit(0))
+        return F.zip_with(F.slice(place, F.lit(1), n), F.slice(place, F.lit(2), n), lambda a, b: a * SIDE + b)
+
+    return let(places, pairs)
 
 
 def labelled_strings(docs: DataFrame, how: SecretScan = DEFAULTS, text_col: str = "text") -> DataFrame:
@@ -101,10 +105,9 @@ def labelled_strings(docs: DataFrame, how: SecretScan = DEFAULTS, text_col: str
     chosen = docs.select(text.alias("text")).orderBy(F.xxhash64("text")).limit(how.sample_documents)
     # words without digits, so that no secret is taken for an identifier; four
     # at a time, joined in one of six ways
-    words = F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != "")
-    rows = chosen.select(words.alias("words")).where(F.size("words") > 0)
-    rows = rows.select("words", F.posexplode(F.sequence(F.lit(1), F.size("words"), F.lit(4))).alias("turn", "at"))
-    four = F.slice("words", F.col("at"), F.lit(4))
+    pieces = F.regexp_extract_all("text", F.lit("(?<![A-Za-z])(?:[A-Za-z]++(?:[^A-Za-z]++|$)){1,4}"), F.lit(0))
+    rows = chosen.select(F.posexplode(pieces).alias("turn", "piece"))
+    four = F.filter(F.split("piece", "[^A-Za-z]+"), lambda w: w != "")
     joined = lambda sep: F.array_join("four", sep)
     camel = F.array_join(F.transform("four", F.initcap), "")
     ways = F.array(joined(""), joined("_"), joined("-"), joined("/"), camel, F.upper(joined("_")))
@@ -135,9 +138,8 @@ def trained(samples: DataFrame, how: SecretScan = DEFAULTS) -> list[float] | Non
 def likelihood_ratio(value: Column, model: list[float]) -> Column:
     """log-likelihood ratio per character pair of a string."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-    pairs = _pairs(value)
-    total = F.aggregate(pairs, F.lit(0.0), lambda s, i: s + F.get(table, i))
-    return total / F.greatest(F.size(pairs), F.lit(1))
+    mean = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda s, i: s + F.get(table, i)) / F.greatest(F.size(pairs), F.lit(1))
+    return let(_pairs(value), mean)
 
 
 def _apart(spans: Column, others: Column) -> Column:

@@ -1,0 +1,73 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+
+from phraseloom.llm import decontaminate
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute(text, items, size):
+    w, hit, found, best = words(text), set(), set(), 0
+    for item, other in items:
+        v = words(other)
+        k = min(size, len(v))
+        if not k:
+            continue
+        windows = {tuple(v[j : j + k]) for j in range(len(v) - k + 1)}
+        for p in range(len(w) - k + 1):
+            if tuple(w[p : p + k]) in windows:
+                hit |= set(range(p, p + k))
+                found.add(item)
+        for p in range(len(w)):
+            for q in range(len(v)):
+                n = 0
+                while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                    n += 1
+                best = max(best, n if n >= k else 0)
+    return len(w), len(hit), sorted(found), best
+
+
+@pytest.mark.parametrize("size", [3, 5, 10])
+def test_random_texts_equal_brute_force(spark, make, size):
+    rng = random.Random(size)
+    letters = "a b c dé Éa 3".split()
+    mk = lambda n: " ".join(rng.choice(letters[: rng.choice([2, 3, 6])]) for _ in range(rng.randint(0, n)))
+    items = [(str(i), rng.choice([None, mk(3), mk(12), mk(20)])) for i in range(8)] + [("0", "zz yy")]
+    docs = [(i, mk(60)) for i in range(30)] + [(30, None), (31, ""), (32, "zz YY")]
+    test_set = spark.createDataFrame(items, "item_id string, text string")
+    out = decontaminate.matches(make(docs).select("doc_id", "text"), test_set, size, part_bytes=40)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.items, r.longest_match) for r in out.collect()}
+    assert got == {i: brute(t, items, size) for i, t in docs}
+
+
+def test_location_of_the_longest_match(spark, make):
+    passage = " ".join(f"p{i}" for i in range(25))
+    docs = make([(1, "x y " + passage[3:] + " z"), (2, "nothing here")]).select("doc_id", "text")
+    got = decontaminate.matches(docs, spark.createDataFrame([(7, passage)], "item_id long, text string")).orderBy("doc_id").collect()
+    # all but p0, after x and y
+    assert (got[0].longest_match, got[0].longest_item, got[0].longest_at, got[0].items) == (24, "7", 2, ["7"])
+    assert (got[1].longest_match, got[1].longest_item, got[1].longest_at, got[1].items) == (0, None, None, [])
+
+
+def test_affected_documents_go(spark, make):
+    passage = " ".join(f"p{i}" for i in range(12))
+    docs = make([(1, passage), (2, "clean"), (2, "clean"), (None, None)])
+    out = decontaminate.decontaminated(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert out.columns == docs.columns and sorted(map(str, (r.doc_id for r in out.collect()))) == ["2", "2", "None"]
+
+
+def test_hard_rows_and_empty_tables(spark, hard):
+    items = spark.createDataFrame([(1, "one"), (2, None)], "item_id long, text string")
+    docs = hard.select("doc_id", "text")
+    got = decontaminate.matches(docs, items).collect()
+    assert len(got) == hard.count() and sum(r.n_hit > 0 for r in got) == 4
+    assert decontaminate.matches(docs, items.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.matches(docs.limit(0), items).count() == 0
