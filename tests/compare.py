@@ -27,7 +27,7 @@ def _rows(names, rows):
     return sorted((tuple(_value(r[i]) for i in order) for r in rows), key=repr)
 
 
-KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "timestamp": "TIMESTAMP"}
+KINDS = {"boolean": "BOOLEAN", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "timestamp": "TIMESTAMP"}
 
 
 def difference(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:

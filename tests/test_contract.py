@@ -16,11 +16,15 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+# those of the training-data operators have tests of their own
+OWN = [name for name in QUERIES if name not in contract.training_data_queries()]
+
+
 def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(OWN) <= set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", OWN)
 def test_query_matches_sql(spark, sf_dir, con, name):
     assert difference(QUERIES[name](spark, sf_dir), con, SQL[name]) is None
 
