@@ -14,7 +14,10 @@ BLANK = r"\t\n\x0B\f\r\x{85}\p{Z}"
 TOKEN = rf"[\p{{L}}\p{{N}}]+(?:[-''’][\p{{L}}\p{{N}}]+)*|[^{BLANK}]"
 ENDING = r"(?i)([\p{L}\p{N}])([''’](?:s|re|ve|ll|d|m)|n[''’]t)([^\p{L}\p{N}]|$)"
 ENGLISH_DOCS = "SELECT doc_id, text FROM documents WHERE lang = 'en'"
-FILE = "source || '/' || doc_id || '.txt'"
+# the file name holds words of the text; a title is the name without .txt
+TITLE = "array_to_string(regexp_extract_all(text, '[A-Za-z]{3,}')[1:4], ' ') || ' ' || doc_id"
+FILE = f"source || '/' || {TITLE} || '.txt'"
+TITLED_DOCS = f"SELECT doc_id, {TITLE} || '. ' || text AS text FROM documents WHERE lang = 'en'"
 
 
 def fold(x: str) -> str:
@@ -94,12 +97,12 @@ def chain(docs: str = ENGLISH_DOCS, prefix: str = "", lexicon: lx.Lexicon = lx.E
 {p}dp AS MATERIALIZED (SELECT doc_id, phrase, count(*) AS tf FROM {p}cand GROUP BY doc_id, phrase)"""
 
 
-def corpus(prefix: str = "") -> str:
+def corpus(prefix: str = "", least: int = 2) -> str:
     p = prefix
     return f"""
 {p}dl AS MATERIALIZED (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS dl FROM {p}dp GROUP BY doc_id),
 {p}pc AS MATERIALIZED (SELECT phrase, CAST(sum(tf) AS BIGINT) AS cf FROM {p}dp GROUP BY phrase),
-{p}kept AS MATERIALIZED (SELECT dp.* FROM {p}dp dp WHERE phrase NOT IN (SELECT phrase FROM {p}pc WHERE cf = 1)),
+{p}kept AS MATERIALIZED (SELECT dp.* FROM {p}dp dp WHERE phrase NOT IN (SELECT phrase FROM {p}pc WHERE cf < {least})),
 {p}stats AS MATERIALIZED (
   SELECT count(*) AS n, CAST(round_even(avg(s), 0) AS DOUBLE) AS avgdl
   FROM (SELECT doc_id, sum(tf) AS s FROM {p}kept GROUP BY doc_id) x),
@@ -193,7 +196,7 @@ NO_PHRASE = "'Error processing the Document: no candidate phrase found'"
 def answers() -> str:
     """CTEs: one row per record of the requests made from conversations."""
     error = "'Error processing the Document: ' || problem"
-    return with_(chain(), corpus(), chain(CONVERSATIONS, "c_"), scored("c_"), summarized("c_")) + f""",
+    return with_(chain(TITLED_DOCS), corpus(), chain(CONVERSATIONS, "c_"), scored("c_"), summarized("c_")) + f""",
 ok AS (
   SELECT s.doc_id AS request_id, 0 AS pos, s.doc_id AS recordId,
     CASE WHEN c.doc_id IS NULL THEN {NO_PHRASE} END AS error,
@@ -214,9 +217,11 @@ answered AS (
 
 def oracle_sql() -> dict[str, str]:
     base = with_(chain())
-    full = with_(chain(), corpus())
-    ranked = with_(chain(), corpus(), scored())
-    summed = with_(chain(), corpus(), scored(), summarized())
+    # corpora count titles, scoring does not
+    titled = with_(chain(TITLED_DOCS))
+    full = with_(chain(TITLED_DOCS), corpus())
+    ranked = with_(chain(TITLED_DOCS), corpus(), chain(ENGLISH_DOCS, "u_"), scored("u_"))
+    summed = with_(chain(TITLED_DOCS), corpus(), chain(ENGLISH_DOCS, "u_"), scored("u_"), summarized("u_"))
     all_docs = "SELECT doc_id, text FROM documents"
     pages = f"SELECT page_id AS doc_id, replace(regexp_extract(url, '([^/]*)$', 1), '.txt', '') || '. ' || {page_text_sql()} AS text FROM pages"
     by_language = ",".join(
@@ -229,7 +234,7 @@ def oracle_sql() -> dict[str, str]:
     )
     sql = {
         "page_text": f"SELECT page_id, {page_text_sql()} AS text FROM pages",
-        "titled_text": f"SELECT doc_id, replace(doc_id || '.txt', '.txt', '') || '. ' || text AS titled FROM documents",
+        "titled_text": f"SELECT doc_id, {TITLE} || '. ' || text AS titled FROM documents",
         "document_tokens": tokens_sql(all_docs),
         "tagged_tokens": tagged_sql(all_docs),
         "content_tokens": f"SELECT doc_id, pos, token, tag FROM ({tagged_sql(all_docs)}) t WHERE {CONTENT}",
@@ -237,8 +242,8 @@ def oracle_sql() -> dict[str, str]:
         f"(SELECT *, {fold('token')} AS f FROM ({tagged_sql(all_docs)}) t WHERE {CONTENT}) c",
         "candidate_phrases": base
         + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INTEGER) AS n, phrase FROM cand",
-        "doc_phrase_counts": base + "SELECT doc_id, phrase, tf FROM dp",
-        "top_phrases_per_document": base
+        "doc_phrase_counts": titled + "SELECT doc_id, phrase, tf FROM dp",
+        "top_phrases_per_document": titled
         + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, phrase) AS INTEGER) AS rank, phrase, tf FROM dp",
         "document_lengths": full + "SELECT doc_id, dl FROM dl",
         "phrase_counts": full + "SELECT phrase, cf FROM pc",
@@ -254,27 +259,27 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT '{lang}' AS lang, phrase, round(bm25, 6) AS bm25 FROM {lang}_model" for lang in lx.LEXICONS
         ),
         "page_model": with_(chain(pages), corpus()) + "SELECT phrase, round(bm25, 6) AS bm25 FROM model",
-        "document_matches": ranked + "SELECT doc_id, phrase, round(bm25, 6) AS bm25 FROM matches",
-        "document_keyphrases": ranked + "SELECT doc_id, rank, phrase, round(bm25, 6) AS bm25 FROM kp",
+        "document_matches": ranked + "SELECT doc_id, phrase, round(bm25, 6) AS bm25 FROM u_matches",
+        "document_keyphrases": ranked + "SELECT doc_id, rank, phrase, round(bm25, 6) AS bm25 FROM u_kp",
         "benchmark_keyphrases": with_(
-            chain(), corpus(), chain("SELECT item_id AS doc_id, text FROM benchmark", "b_"), scored("b_")
+            chain(TITLED_DOCS), corpus(), chain("SELECT item_id AS doc_id, text FROM benchmark", "b_"), scored("b_")
         )
         + "SELECT doc_id, rank, phrase, round(bm25, 6) AS bm25 FROM b_kp",
         "document_sentences": sentences_sql(all_docs),
-        "sentence_hits": summed + "SELECT doc_id, sentence, phrase, round(bm25, 6) AS bm25 FROM hits",
-        "sentence_scores": summed + "SELECT doc_id, sentence, round(total, 6) AS total FROM totals WHERE total > 0",
-        "document_summaries": summed + "SELECT doc_id, CAST(to_json(summary) AS VARCHAR) AS summary FROM summaries",
+        "sentence_hits": summed + "SELECT doc_id, sentence, phrase, round(bm25, 6) AS bm25 FROM u_hits",
+        "sentence_scores": summed + "SELECT doc_id, sentence, round(total, 6) AS total FROM u_totals WHERE total > 0",
+        "document_summaries": summed + "SELECT doc_id, CAST(to_json(summary) AS VARCHAR) AS summary FROM u_summaries",
         "summary_fallback": f"SELECT doc_id, CAST(to_json({fallback_sql('text')}) AS VARCHAR) AS repeated, "
         "CAST(to_json(string_split_regex(text, '[.!?]')[1:3]) AS VARCHAR) AS lead FROM documents",
         "word_counts": f"SELECT doc_id, CAST({words_sql('text')} AS INTEGER) AS words FROM documents",
         "sampled_documents": "SELECT doc_id, text FROM documents ORDER BY md5('phraseloom:' || doc_id) LIMIT 250",
         "encoded_ids": f"SELECT doc_id, to_base64(encode({FILE})) AS id, {FILE} AS decoded FROM documents",
         "enriched_documents": summed
-        + f"SELECT to_base64(encode({FILE})) AS id, doc_id || '.txt' AS filename, 'txt' AS filetype, text AS content, "
+        + f"SELECT to_base64(encode({FILE})) AS id, {TITLE} || '.txt' AS filename, 'txt' AS filetype, text AS content, "
         "CAST(to_json(summary) AS VARCHAR) AS summary, CAST(to_json(coalesce(terms, [])) AS VARCHAR) AS terms "
-        "FROM (SELECT * FROM documents WHERE lang = 'en') d JOIN summaries USING (doc_id) LEFT JOIN terms USING (doc_id)",
+        "FROM (SELECT * FROM documents WHERE lang = 'en') d JOIN u_summaries USING (doc_id) LEFT JOIN u_terms USING (doc_id)",
         "filetype_facets": with_(
-            chain(),
+            chain(TITLED_DOCS),
             corpus(),
             chain(
                 f"SELECT {FILE} AS doc_id, text FROM documents UNION ALL "
@@ -286,7 +291,7 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT split_part(doc_id, '.', 2) AS filetype, count(*) AS docs, "
         "CAST(sum(CASE WHEN doc_id IN (SELECT doc_id FROM f_kp) THEN 1 ELSE 0 END) AS BIGINT) AS with_terms "
         "FROM f_src GROUP BY 1",
-        "term_facets": ranked + "SELECT phrase AS term, count(*) AS docs FROM kp GROUP BY phrase",
+        "term_facets": ranked + "SELECT phrase AS term, count(*) AS docs FROM u_kp GROUP BY phrase",
         "request_records": "SELECT conv_id || '-' || turn AS request_id, CAST(pos AS INTEGER) AS pos, "
         "conv_id || '-' || turn || kind AS recordId, CASE WHEN pos = 0 THEN text END AS content, problem FROM conversations, "
         "(VALUES (0, '', NULL), (1, '-n', 'content is not a string'), (2, '-m', 'content is missing'), "
@@ -298,7 +303,14 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN error IS NULL THEN '"keyphrases":' || CAST(to_json(keyphrases) AS VARCHAR) || ',"summaries":' ||
             CAST(to_json(summaries) AS VARCHAR) ELSE '' END || '},"errors":[' ||
           coalesce('"' || error || '"', '') || '],"warnings":[]}', ',' ORDER BY pos) || ']}' AS body
-          FROM answered GROUP BY request_id""",
+          FROM answered GROUP BY request_id UNION ALL
+          SELECT conv_id || '-' || turn || '-e', '{"values":[]}' FROM conversations WHERE role = 'assistant'""",
+        "stream_rejects": """SELECT conv_id || '-' || turn || '-b' AS request_id, '{"values"' AS corrupt_body
+          FROM conversations WHERE turn = 0""",
+        "document_rejects": "SELECT doc_id, CASE WHEN source = 'src1' THEN 'text is blank' ELSE 'text is missing' END AS reason "
+        "FROM documents WHERE source IN ('src1', 'src2')",
+        "phrase_model_of_three": with_(chain(TITLED_DOCS), corpus(least=3))
+        + "SELECT phrase, round(bm25, 6) AS bm25 FROM model",
     }
     sql["phrase_runs"] = base + "SELECT doc_id, phrase FROM cand"
     sql["phrase_file_roundtrip"] = sql["doc_phrase_counts"]

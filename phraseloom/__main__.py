@@ -6,7 +6,9 @@
     python -m phraseloom enrich  --input DOCS --output DIR [--model MODEL]
 
 ``DOCS`` is a folder of text and HTML files, or with ``--format parquet`` a
-table with ``doc_id`` and ``text``. Cluster settings come from spark-submit.
+table with ``doc_id`` and ``text``, or with ``--format table`` a catalog table,
+bucketed by ``doc_id`` if text should not be shuffled. Partition sizes are set
+from the input; all else comes from spark-submit.
 """
 
 from __future__ import annotations
@@ -17,7 +19,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phraseloom import session
 from phraseloom.functions.lexicon import LEXICONS
+from phraseloom.operators import records
+from phraseloom.operators.selection import split_rejects
 from phraseloom.operators.tagging import RuleTagger
 from phraseloom.params import DEFAULTS, Params
 from phraseloom.plans import pipelines
@@ -27,16 +32,24 @@ from phraseloom.streaming.scoring import score_stream
 
 
 def load(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """Documents with doc_id, file, text and, where known, modified."""
+    """Documents with doc_id, file, text and, where known, modified. Rejects
+    are always written."""
     if args.format == "files":
-        documents, rejects = files.fetch_documents(spark, args.input, args.folder)
-        if args.rejects:
-            rejects.write.mode("overwrite").parquet(args.rejects)
-        return documents
-    if args.format == "text":
-        return files.read_text_folder(spark, args.input)
-    docs = spark.read.parquet(args.input)
-    return docs if "file" in docs.columns else docs.withColumn("file", F.col("doc_id").cast("string"))
+        documents, unread = files.fetch_documents(spark, args.input, args.folder)
+    elif args.format == "text":
+        documents, unread = files.read_text_folder(spark, args.input), None
+    else:
+        documents = spark.table(args.input) if args.format == "table" else spark.read.parquet(args.input)
+        unread = None
+        if "file" not in documents.columns:
+            documents = documents.withColumn("file", F.col("doc_id").cast("string"))
+    documents, blank = split_rejects(documents)
+    path = args.rejects or f"{(getattr(args, 'output', None) or args.model).rstrip('/')}-rejects"
+    columns = [F.col(c).cast("string").alias(c) for c in ("file", "reason")]
+    refused = blank.select(*columns)
+    refused = refused if unread is None else refused.unionByName(unread.select(*columns))
+    refused.write.mode("overwrite").parquet(path)
+    return documents
 
 
 def params(args: argparse.Namespace) -> Params:
@@ -46,12 +59,18 @@ def params(args: argparse.Namespace) -> Params:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     p, tagger = params(args), RuleTagger(LEXICONS[args.lang])
+    source = getattr(args, "input", None) or args.requests
+    if getattr(args, "format", "") != "table":
+        session.apply(spark, session.input_bytes(spark, source))
     if args.job == "build":
-        model = pipelines.build_model(load(spark, args), tagger, p, title_col="file", sample=not args.all)
-        tables.write_model(model, args.model)
+        with Workspace(spark) as workspace:
+            docs = load(spark, args)
+            sample = args.max_documents is not None
+            model = pipelines.build_model(docs, tagger, p, title_col="file", sample=sample, workspace=workspace)
+            tables.write_model(model, args.model)
     elif args.job == "stream":
         score_stream(
-            requests.stream_requests(spark, args.requests), args.model, args.output, args.state, tagger, p
+            requests.stream_requests(spark, args.requests), args.model, args.output, args.state, tagger, p, args.rejects
         ).awaitTermination()
     else:
         with Workspace(spark) as workspace:
@@ -59,6 +78,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             if args.job == "analyze":
                 bodies = requests.read_requests(spark, args.requests)
                 requests.write_responses(pipelines.analyze(bodies, model, tagger, p, workspace), args.output)
+                refused = records.request_rejects(bodies)
+                refused.write.mode("overwrite").parquet(args.rejects or args.output.rstrip("/") + "-rejects")
             else:
                 docs = load(spark, args)
                 created = F.col("modified") if "modified" in docs.columns else None
@@ -72,13 +93,11 @@ def parser() -> argparse.ArgumentParser:
     build, analyze, stream, enrich = (jobs.add_parser(j) for j in ("build", "analyze", "stream", "enrich"))
     for job in (build, enrich):
         job.add_argument("--input", required=True)
-        job.add_argument("--format", choices=("files", "text", "parquet"), default="files")
+        job.add_argument("--format", choices=("files", "text", "parquet", "table"), default="files")
         job.add_argument("--folder", default="", help="start in a sub-folder of the input")
-        job.add_argument("--rejects", help="where to write files that could not be read")
         job.add_argument("--min-bm25", type=float)
     build.add_argument("--model", required=True)
-    build.add_argument("--max-documents", type=int)
-    build.add_argument("--all", action="store_true", help="use every document instead of a sample")
+    build.add_argument("--sample", dest="max_documents", type=int, help="use so many documents, at random")
     enrich.add_argument("--model", help="score against this model instead of the corpus's own")
     enrich.add_argument("--output", required=True)
     for job in (analyze, stream):
@@ -89,6 +108,7 @@ def parser() -> argparse.ArgumentParser:
     for job in (analyze, stream, enrich):
         job.add_argument("--fallback", choices=("repeat", "lead"))
     for job in (build, analyze, stream, enrich):
+        job.add_argument("--rejects", help="where to write what could not be used; by default OUTPUT-rejects or MODEL-rejects")
         job.add_argument("--lang", choices=sorted(LEXICONS), default="en")
     return top
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from phraseloom.operators.joins import join_on_phrase
 from phraseloom.params import DEFAULTS, Params
-
-FREQUENT_SHARE = 1e-5
+from phraseloom.staging import Workspace, stage
 
 
 def document_lengths(bags: DataFrame) -> DataFrame:
@@ -27,29 +27,23 @@ def repeated_phrases(counts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return counts.where(F.col("cf") >= p.min_corpus_count)
 
 
-def frequent_phrases(counts: DataFrame, share: float = FREQUENT_SHARE) -> DataFrame:
-    """(phrase, cf) of phrases that make up more than ``share`` of all
-    occurrences. There cannot be more than ``1 / share`` of them, whatever the
-    size of the corpus, so the result may be broadcast."""
-    total = counts.agg(F.sum("cf").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("cf") > share * F.col("total")).select("phrase", "cf")
-
-
 def join_frequencies(
-    phrases: DataFrame, counts: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda c: c
+    phrases: DataFrame,
+    counts: DataFrame,
+    keep: Callable[[DataFrame], DataFrame] = lambda c: c,
+    p: Params = DEFAULTS,
+    workspace: Workspace | None = None,
 ) -> DataFrame:
     """Document phrases with ``cf``, of the phrases ``keep`` leaves in the
-    counts. Rows of frequent phrases meet a broadcast table where they are;
-    only the others are shuffled, so no key of the shuffle is hot."""
-    hot = frequent_phrases(counts)
-    in_place = phrases.join(F.broadcast(keep(hot)), "phrase")
-    others = phrases.join(F.broadcast(hot.select("phrase")), "phrase", "left_anti")
-    return in_place.unionByName(others.join(keep(counts), "phrase"))
+    counts. The counts are written first, so that the join has no aggregate
+    between its sorts and its exchanges and a hot phrase can be split."""
+    kept = keep(stage(counts, "counts", workspace))
+    return join_on_phrase(phrases, kept.select("phrase", "cf"), p)
 
 
 def drop_rare(phrases: DataFrame, counts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Document phrases without those the corpus holds only once."""
-    return join_frequencies(phrases, counts, lambda c: repeated_phrases(c, p)).drop("cf")
+    return join_frequencies(phrases, counts, lambda c: repeated_phrases(c, p), p).drop("cf")
 
 
 def holder_marks(phrases: DataFrame) -> dict[str, Column]:

@@ -20,7 +20,7 @@ from phraseloom.params import DEFAULTS, Params
 def scoring_inputs(phrases: DataFrame, counts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """(doc_id, phrase, tf, cf, dl): document phrases with their corpus
     frequency. The document length already rides on the phrase row."""
-    joined = join_frequencies(phrases, counts, lambda c: repeated_phrases(c, p))
+    joined = join_frequencies(phrases, counts, lambda c: repeated_phrases(c, p), p)
     return joined.select("doc_id", "phrase", "tf", "cf", "dl")
 
 
@@ -44,21 +44,18 @@ def doc_keyphrases(phrases: DataFrame, counts: DataFrame, stats: DataFrame, p: P
         with_stats = repeated_phrases(c, p).crossJoin(F.broadcast(stats))
         return with_stats.where(can_reach(F.col("n"), F.col("cf"), p.min_bm25, p))
 
+    # stats is the one row of a global aggregate
     return (
-        join_frequencies(phrases, counts, reachable)
+        join_frequencies(phrases, counts, reachable, p)
+        .crossJoin(F.broadcast(stats))
         .withColumn("bm25", bm25(F.col("n"), F.col("avgdl"), F.col("cf"), F.col("tf"), F.col("dl"), p))
         .where(F.col("bm25") >= p.min_bm25)
         .select("doc_id", "phrase", "bm25")
     )
 
 
-def average_scores(scored: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """(phrase, bm25): mean over the documents whose score passed."""
-    return scored.groupBy("phrase").agg(F.avg("bm25").alias("bm25")).where(F.col("bm25") >= p.min_bm25)
-
-
 def phrase_model(phrases: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """The model straight from the phrase profile: what ``average_scores`` of
+    """The model straight from the phrase profile: the mean per phrase of what
     ``doc_keyphrases`` gives, without a row per (document, phrase) after the
     first exchange."""
     profile = phrase_profile(phrases)

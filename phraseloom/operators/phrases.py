@@ -124,15 +124,32 @@ def phrase_bags(
     title_col: str | None = None,
 ) -> DataFrame:
     """(doc_id, dl, phrases array<struct<phrase,tf>>), one row per document.
-    ``dl`` counts every candidate, also those the corpus later drops."""
-    text = F.col(text_col)
+    ``dl`` counts every candidate, also those the corpus later drops.
+
+    With a title, ``dl`` and ``phrases`` are those of title and text, for a
+    corpus; ``text_dl`` and ``text_phrases`` are those of the text alone, for
+    scoring. The title ends in a full stop, which closes its last phrase, so
+    its candidates come before those of the text and each is read once.
+    """
+
+    def counted(c: Column, prefix: str = "") -> list[Column]:
+        return [F.size(c).cast("long").alias(f"{prefix}dl"), count_phrases(c).alias(f"{prefix}phrases")]
+
+    found = candidates(F.col(text_col), tagger, p)
     if title_col:
-        text = titled_text(F.col(title_col), text)
-    bag = let(
-        candidates(text, tagger, p),
-        lambda c: F.struct(F.size(c).cast("long").alias("dl"), count_phrases(c).alias("phrases")),
-    )
-    return docs.select(F.col(id_col).alias("doc_id"), bag.alias("bag")).select("doc_id", "bag.dl", "bag.phrases")
+        of_title = candidates(titled_text(F.col(title_col), F.lit("")), tagger, p)
+        both = F.when(F.col(text_col).isNotNull(), F.struct(of_title.alias("title"), found.alias("text")))
+        bag = let(both, lambda c: F.struct(*counted(F.concat(c["title"], c["text"])), *counted(c["text"], "text_")))
+    else:
+        bag = let(found, lambda c: F.struct(*counted(c)))
+    return docs.select(F.col(id_col).alias("doc_id"), bag.alias("bag")).select("doc_id", "bag.*")
+
+
+def text_bags(bags: DataFrame) -> DataFrame:
+    """The bags to score with: of texts without their titles."""
+    if "text_phrases" not in bags.columns:
+        return bags
+    return bags.select("doc_id", F.col("text_dl").alias("dl"), F.col("text_phrases").alias("phrases"))
 
 
 def doc_phrases(bags: DataFrame) -> DataFrame:

@@ -2,46 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phraseloom.operators.joins import join_on_phrase
 from phraseloom.params import DEFAULTS, Params
 
 
-def broadcast_matches(phrases: DataFrame, model: DataFrame) -> DataFrame:
-    """For a model known to be small: no phrase is shuffled."""
-    return phrases.join(F.broadcast(model), "phrase").select("doc_id", "phrase", "bm25")
-
-
-def shuffled_matches(phrases: DataFrame, model: DataFrame) -> DataFrame:
-    """For a model of any size. New documents may share a phrase that was rare
-    in the corpus of the model, and nothing tells which. The model is a written
-    table with one row per phrase, so both sides come straight from a shuffle,
-    and adaptive execution splits the partition of such a phrase."""
-    return phrases.join(model, "phrase").select("doc_id", "phrase", "bm25")
-
-
-def salted_matches(phrases: DataFrame, model: DataFrame, salts: int) -> DataFrame:
-    """The same without help from adaptive execution: every phrase is spread
-    over ``salts`` keys by document, and the model is repeated for each."""
-    salted = phrases.select("doc_id", "phrase", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
-    repeated = model.select("phrase", "bm25", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return salted.join(repeated, ["phrase", "salt"]).select("doc_id", "phrase", "bm25")
-
-
-def splits_skew(spark: SparkSession) -> bool:
-    settings = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
-    return all(spark.conf.get(s) == "true" for s in settings)
-
-
 def document_matches(phrases: DataFrame, model: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """(doc_id, phrase, bm25) of the phrases that are in the model. The model is
-    a written table, so counting it reads file footers only."""
-    if model.count() <= p.broadcast_model_rows:
-        return broadcast_matches(phrases, model)
-    if splits_skew(phrases.sparkSession):
-        return shuffled_matches(phrases, model)
-    return salted_matches(phrases, model, p.salts)
+    """(doc_id, phrase, bm25) of the phrases that are in the model, a written
+    table. New documents may share a phrase that was rare in its corpus."""
+    return join_on_phrase(phrases, model, p).select("doc_id", "phrase", "bm25")
 
 
 def rank_key(score: Column, p: Params = DEFAULTS) -> Column:

@@ -26,6 +26,11 @@ def request_rejects(bodies: DataFrame, body_col: str = "body", id_col: str = "re
     return bodies.where(parsed.isNull()).select(F.col(id_col).alias("request_id"), F.col(body_col).alias("corrupt_body"))
 
 
+def empty_requests(bodies: DataFrame, body_col: str = "body", id_col: str = "request_id") -> DataFrame:
+    """(request_id) of requests without any record."""
+    return parse_requests(bodies, body_col, id_col).where(F.size("values") == 0).select("request_id")
+
+
 def request_records(bodies: DataFrame, body_col: str = "body", id_col: str = "request_id") -> DataFrame:
     """(request_id, pos, recordId, content, problem): one row per record.
     ``content`` is set only where it is a JSON string."""
@@ -68,12 +73,16 @@ def response_record(problem: Column, keyphrases: Column, summary: Column) -> Col
     )
 
 
-def responses(records: DataFrame) -> DataFrame:
+def responses(records: DataFrame, empty: DataFrame | None = None) -> DataFrame:
     """(request_id, body): one JSON answer per request, records in order.
-    A request is one row on the way in, so its records fit one row here."""
+    A request is one row on the way in, so its records fit one row here.
+    ``empty`` requests are answered with no records."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.to_json("record").alias("json"))))
-    return records.groupBy("request_id").agg(
+    answers = records.groupBy("request_id").agg(
         F.concat(
             F.lit('{"values":['), F.array_join(F.transform(ordered, lambda x: x["json"]), ","), F.lit("]}")
         ).alias("body")
     )
+    if empty is None:
+        return answers
+    return answers.unionByName(empty.select("request_id", F.lit('{"values":[]}').alias("body")))

@@ -40,7 +40,8 @@ def fallback(pieces: Column, p: Params = DEFAULTS) -> Column:
     """Without a scoring sentence: the first one repeated, or the first ones."""
     if p.fallback == "lead":
         return F.slice(pieces, 1, p.summary_sentences)
-    return F.array_repeat(F.get(pieces, F.lit(0)), F.least(F.lit(p.summary_sentences), F.size(pieces)))
+    repeated = F.array_repeat(F.get(pieces, F.lit(0)), F.least(F.lit(p.summary_sentences), F.size(pieces)))
+    return F.when(pieces.isNotNull(), repeated)
 
 
 def best_sentences(pieces: Column, vocab: Column, p: Params = DEFAULTS) -> Column:

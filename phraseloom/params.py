@@ -15,7 +15,7 @@ class Params:
     # candidates
     min_token_length: int = 3
     flush_trailing: bool = False
-    # corpus selection
+    # corpus selection, where a sample is asked for
     max_documents: int = 100_000
     sample_seed: str = "phraseloom"
     # key phrases of a document
@@ -23,10 +23,8 @@ class Params:
     # Averages over shuffled rows differ in their last bits between runs, so
     # ranks are taken on the score rounded to this many decimals.
     rank_decimals: int = 6
-    # A model of at most this many phrases (some ten megabytes) is broadcast.
-    # Where a larger one is shuffled and the session does not split skewed
-    # joins, a phrase is spread over this many keys.
-    broadcast_model_rows: int = 200_000
+    # Where the session does not split skewed joins, a phrase is spread over
+    # this many keys.
     salts: int = 32
     # summaries
     summary_sentences: int = 3

@@ -14,10 +14,17 @@ from pyspark.sql import functions as F
 from phraseloom.operators.corpus import corpus_stats, phrase_counts
 from phraseloom.operators.enrich import enriched_documents
 from phraseloom.operators.model import doc_keyphrases, phrase_model
-from phraseloom.operators.phrases import doc_phrases, phrase_bags
+from phraseloom.operators.phrases import doc_phrases, phrase_bags, text_bags
 from phraseloom.operators.ranking import document_keyphrases, document_matches, keyphrase_lists
-from phraseloom.operators.records import NO_PHRASE, record_key, request_records, response_record, responses
-from phraseloom.operators.selection import sampled_documents
+from phraseloom.operators.records import (
+    NO_PHRASE,
+    empty_requests,
+    record_key,
+    request_records,
+    response_record,
+    responses,
+)
+from phraseloom.operators.selection import sampled_documents, split_rejects
 from phraseloom.operators.summary import document_summaries, summary, vocabulary, with_vocabulary
 from phraseloom.operators.tagging import Tagger
 from phraseloom.params import DEFAULTS, Params
@@ -37,10 +44,16 @@ def build_model(
     p: Params = DEFAULTS,
     title_col: str | None = None,
     sample: bool = False,
+    workspace: Workspace | None = None,
 ) -> DataFrame:
-    """(phrase, bm25). ``sample`` restricts the corpus to ``max_documents``."""
+    """(phrase, bm25). ``sample`` restricts the corpus to ``max_documents``.
+    For a minimum count other than 2 the corpus scalars need a pass of their
+    own over the phrases, which are written first."""
     corpus = sampled_documents(docs, p) if sample else docs
-    return phrase_model(doc_phrases(corpus_bags(corpus, tagger, p, title_col)), p)
+    bags = corpus_bags(corpus, tagger, p, title_col)
+    if p.min_corpus_count != 2:
+        bags = stage(bags.select("doc_id", "dl", "phrases"), "bags", workspace)
+    return phrase_model(doc_phrases(bags), p)
 
 
 def score_corpus(
@@ -57,7 +70,8 @@ def score_corpus(
 
 
 def rank_bags(bags: DataFrame, model: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    return document_keyphrases(document_matches(doc_phrases(bags), model, p), p)
+    """Ranked phrases of the texts; titles count in a corpus only."""
+    return document_keyphrases(document_matches(doc_phrases(text_bags(bags)), model, p), p)
 
 
 def extract_keyphrases(
@@ -80,10 +94,14 @@ def ranked_documents(
 
 
 def summarize(
-    docs: DataFrame, model: DataFrame, tagger: Tagger | None = None, p: Params = DEFAULTS
+    docs: DataFrame,
+    model: DataFrame,
+    tagger: Tagger | None = None,
+    p: Params = DEFAULTS,
+    bags: DataFrame | None = None,
 ) -> DataFrame:
     """(doc_id, summary)."""
-    return document_summaries(ranked_documents(docs, model, tagger, p), p)
+    return document_summaries(ranked_documents(docs, model, tagger, p, bags), p)
 
 
 def analyze_records(
@@ -115,8 +133,9 @@ def analyze(
     p: Params = DEFAULTS,
     workspace: Workspace | None = None,
 ) -> DataFrame:
-    """(request_id, body): the JSON answer to every parseable request."""
-    return responses(analyze_records(bodies, model, tagger, p, workspace))
+    """(request_id, body): the JSON answer to every parseable request, also
+    to one without records. The others are ``request_rejects``."""
+    return responses(analyze_records(bodies, model, tagger, p, workspace), empty_requests(bodies))
 
 
 def enrich(
@@ -129,8 +148,10 @@ def enrich(
     workspace: Workspace | None = None,
 ) -> DataFrame:
     """Search documents of a corpus, scored against ``model`` or against the
-    model of the corpus itself. Phrases are extracted once for both uses."""
-    bags = stage(corpus_bags(docs, tagger, p), "bags", workspace)
+    model of the corpus itself, which counts file names as titles. Phrases are
+    extracted once for both uses. Rows without a text are ``split_rejects``."""
+    docs, _ = split_rejects(docs)
+    bags = stage(corpus_bags(docs, tagger, p, None if model is not None else path_col), "bags", workspace)
     if model is None:
         model = stage(phrase_model(doc_phrases(bags), p), "model", workspace)
     return enriched_documents(ranked_documents(docs, model, tagger, p, bags), p, path_col, created)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from phraseloom.operators.records import request_rejects
 from phraseloom.operators.tagging import Tagger
 from phraseloom.params import DEFAULTS, Params
 from phraseloom.plans.pipelines import analyze_records
@@ -24,10 +25,13 @@ def score_stream(
     checkpoint: str,
     tagger: Tagger | None = None,
     p: Params = DEFAULTS,
+    rejects: str | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Start scoring a stream of (request_id, body). Answers are rows
-    (request_id, pos, record) below ``output``. ``trigger`` is what
+    (request_id, pos, record) below ``output``; bodies that are no request are
+    rows (request_id, corrupt_body) below ``rejects``, by default the folder
+    of that name beside the output. ``trigger`` is what
     ``DataStreamWriter.trigger`` takes; the default runs what is there and
     stops."""
 
@@ -36,6 +40,8 @@ def score_stream(
         with Workspace(batch.sparkSession) as workspace:
             answers = analyze_records(batch, model, tagger, p, workspace)
             answers.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+            refused = request_rejects(batch)
+            refused.write.mode("overwrite").parquet(f"{rejects or output + '-rejects'}/batch={batch_id}")
 
     return (
         requests.writeStream.foreachBatch(score_batch)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from phraseloom import PandasTagger, build_model
-from phraseloom.operators import corpus, model, phrases, ranking
+from phraseloom.operators import corpus, joins, model, phrases, ranking
 from phraseloom.params import DEFAULTS
 from phraseloom.plans import pipelines
 from phraseloom.sources import tables
@@ -90,17 +90,6 @@ def test_averaging_reuses_the_partitioning_by_phrase(model_plan):
     assert top.count("HashAggregate") == 2 and "Exchange" not in top
 
 
-def test_frequent_phrases_meet_a_broadcast_and_the_rest_a_shuffle(spark, scan):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        dp = phrases.doc_phrases(phrases.phrase_bags(scan))
-        plan = executed(model.scoring_inputs(dp, corpus.phrase_counts(dp)))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("BroadcastHashJoin") == 2 and "LeftAnti" in plan
-    assert plan.count("SortMergeJoin") == 1
-
-
 @pytest.fixture()
 def shuffled_joins(spark):
     settings = {
@@ -123,15 +112,17 @@ def hot_rows(spark):
     return ids.select(F.col("id").alias("doc_id"), word.alias("phrase"))
 
 
+def hot_model(spark, path):
+    hot_rows(spark).select("phrase").distinct().withColumn("bm25", F.lit(6.0)).write.parquet(path)
+    return tables.read_model(spark, path)
+
+
 def test_a_phrase_in_a_third_of_all_rows_is_split(spark, shuffled_joins, tmp_path):
-    rows = hot_rows(spark)
-    rows.select("phrase").distinct().withColumn("bm25", F.lit(6.0)).write.parquet(str(tmp_path / "model"))
-    known = tables.read_model(spark, str(tmp_path / "model"))
-    p = replace(DEFAULTS, broadcast_model_rows=0)
-    assert "SortMergeJoin(skew=true)" in final_plan(ranking.document_matches(rows, known, p).agg(F.count("bm25")))
+    rows, known = hot_rows(spark), hot_model(spark, str(tmp_path / "model"))
+    assert "SortMergeJoin(skew=true)" in final_plan(ranking.document_matches(rows, known).agg(F.count("bm25")))
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
     try:
-        matches = ranking.document_matches(rows, known, p).withColumn("task", F.spark_partition_id())
+        matches = ranking.document_matches(rows, known).withColumn("task", F.spark_partition_id())
         per_task = matches.where("phrase = 'hot'").groupBy("task").count()
         assert matches.count() == 120_000
         assert per_task.count() > 4 and per_task.agg(F.max("count")).first()[0] < 20_000
@@ -139,17 +130,47 @@ def test_a_phrase_in_a_third_of_all_rows_is_split(spark, shuffled_joins, tmp_pat
         spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
 
 
-def test_ways_to_match_agree(spark, shuffled_joins):
-    rows = hot_rows(spark)
-    known = rows.where("doc_id % 5 < 2").select("phrase").distinct().withColumn("bm25", F.hash("phrase") / 7)
+@pytest.mark.parametrize("least", [1, 2])
+def test_frequencies_of_a_phrase_in_a_third_of_all_rows_are_split(spark, shuffled_joins, least):
+    rows = hot_rows(spark).withColumns({"tf": F.lit(1).cast("long"), "dl": F.lit(1).cast("long")})
+    counts = corpus.phrase_counts(rows)
+    p = replace(DEFAULTS, min_corpus_count=least)
+    assert "SortMergeJoin(skew=true)" in final_plan(model.scoring_inputs(rows, counts, p).agg(F.count("cf")))
+    if least == 2:  # the hot phrase alone remains, and is small
+        return
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        inputs = model.scoring_inputs(rows, counts, p).withColumn("task", F.spark_partition_id())
+        per_task = inputs.where("phrase = 'hot'").groupBy("task").count()
+        assert per_task.agg(F.max("count")).first()[0] < 20_000
+        assert inputs.where("phrase = 'hot' and cf = 40000").count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+
+
+def test_few_long_phrases_are_not_broadcast_by_their_number(spark, scan, tmp_path):
+    # 120 phrases of 320,000 characters; as a file, above the default limit of 10 MB
+    known = spark.range(120, numPartitions=1).select(
+        F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(5000)), lambda i: F.sha2((F.col("id") * 5000 + i).cast("string").cast("binary"), 256))).alias("phrase"),
+        F.lit(6.0).alias("bm25"),
+    )
+    known.write.parquet(str(tmp_path / "model"))
+    rows = scan.select("doc_id", F.col("lang").alias("phrase"))
+    plan = executed(ranking.document_matches(rows, tables.read_model(spark, str(tmp_path / "model"))))
+    assert "BuildRight" not in plan and plan.count("Scan parquet") == 2
+
+
+def test_ways_to_match_agree(spark, shuffled_joins, tmp_path):
+    rows, known = hot_rows(spark), hot_model(spark, str(tmp_path / "model")).where("hash(phrase) % 5 < 2")
     plain = rows.join(known, "phrase").select("doc_id", "phrase", "bm25")
-    for got in (
-        ranking.document_matches(rows, known),
-        ranking.document_matches(rows, known, replace(DEFAULTS, broadcast_model_rows=0)),
-        ranking.salted_matches(rows, known, 3),
-    ):
+    for got in (ranking.document_matches(rows, known), joins.salted_join(rows, known, 3).select("doc_id", "phrase", "bm25")):
         assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
-    assert "BroadcastHashJoin" in executed(ranking.document_matches(rows, known))
+
+
+def test_any_minimum_count_tokenizes_once(scan):
+    plan = final_plan(build_model(scan.where("lang = 'en'"), p=replace(DEFAULTS, min_corpus_count=3)))
+    # the written bags are read; the texts were read and tokenized to write them
+    assert plan.count("regexp_extract_all") == 0 and "text:string" not in plan
 
 
 def test_ranking_and_collecting_share_one_shuffle(scan):
