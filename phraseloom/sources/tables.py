@@ -41,7 +41,10 @@ def read_model(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_enriched(enriched: DataFrame, path: str) -> None:
-    enriched.write.mode("overwrite").partitionBy("filetype").parquet(path)
+    """A folder per file type. An empty one would be read back as NULL, so it
+    is written as ``none``."""
+    kind = F.when(F.col("filetype") == "", "none").otherwise(F.col("filetype"))
+    enriched.withColumn("filetype", kind).write.mode("overwrite").partitionBy("filetype").parquet(path)
 
 
 def write_bucketed(docs: DataFrame, table: str, buckets: int, id_col: str = "doc_id") -> None:

@@ -150,6 +150,8 @@ def test_enriched_corpus_of_files(spark, tree, tmp_path):
     tables.write_enriched(rows, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.where("filetype = 'html'").count() == 1
+    tables.write_enriched(rows.withColumn("filetype", F.lit("")), str(tmp_path / "plain"))
+    assert spark.read.parquet(str(tmp_path / "plain")).where("filetype = 'none'").count() == rows.count()
 
 
 def test_phrases_of_documents_with_any_id_type(spark):
