@@ -49,6 +49,8 @@ class MinHash:
     rows: int = 5
     seed: int = 7
     deviations: float = 6.0
+    # the filter that keeps texts without candidates out of a shuffle: 1 MB
+    filter_bits: int = 23
     # members that one task compares with others at a time
     block: int = 1024
 
@@ -180,14 +182,28 @@ def estimated(pairs: DataFrame, classes: DataFrame, how: MinHash) -> DataFrame:
     return both.where(F.col("equal") >= how.fewest)
 
 
+def screened(docs: DataFrame, wanted: DataFrame, how: MinHash) -> DataFrame:
+    """The rows of ``docs`` whose (id, text_hash) may be in ``wanted``, by a
+    filter of 2 ** filter_bits bits that is broadcast: a fixed size, whatever
+    is in it. Rows it lets through by chance go in the join that follows."""
+    slot = lambda *c: F.xxhash64(*c).bitwiseAND((1 << how.filter_bits) - 1)
+    bits = wanted.select(slot("of_id", "of_hash").alias("slot"))
+    place = F.expr("slot % 32768")
+    bits = bits.groupBy(F.expr("slot div 32768").alias("page")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    rows = docs.withColumn("slot", slot("id", "text_hash")).withColumn("page", F.expr("slot div 32768"))
+    byte = F.expr("cast(conv(hex(substring(bits, cast(slot % 32768 div 8 as int) + 1, 1)), 16, 10) as int)")
+    is_set = F.expr("cast(slot % 8 as int)")
+    marked = rows.join(F.broadcast(bits), "page").where(F.call_function("shiftright", byte, is_set) % 2 == 1)
+    return marked.select(*docs.columns)
+
+
 def shingle_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, how: MinHash) -> DataFrame:
-    """(vertex, shingles) of every class in ``pairs``. Where these are many,
-    this is the one shuffle of texts."""
+    """(vertex, shingles) of every class in ``pairs``, from their texts."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
     wanted = ends.join(classes.select("vertex", "id", "text_hash"), "vertex")
     wanted = stage(wanted.toDF("vertex", "of_id", "of_hash"), "wanted")
     match = (F.col("text_hash") == F.col("of_hash")) & F.col("id").eqNullSafe(F.col("of_id"))
-    texts = docs.join(wanted, match).select("vertex", "text")
+    texts = screened(docs, wanted, how).join(wanted, match).select("vertex", "text")
     return texts.mapInArrow(_sets(how), "vertex long, shingles array<long>").dropDuplicates(["vertex"])
 
 

@@ -67,6 +67,14 @@ def test_members_apart_from_their_leader_meet_the_rest(make):
     assert got == brute(rows, 2)
 
 
+def test_the_filter_lets_every_wanted_row_through(spark, make):
+    docs = neardup._rows(make([(i, f"text {i}") for i in range(3000)] + [(None, None)]), "doc_id", "text")
+    wanted = docs.where("id % 7 = 0 or id is null").selectExpr("id as of_id", "text_hash as of_hash")
+    for bits, most in ((23, 440), (15, 480)):
+        left = neardup.screened(docs, wanted, replace(neardup.DEFAULTS, filter_bits=bits)).collect()
+        assert {r.id for r in left} >= {r.of_id for r in wanted.collect()} and len(left) <= most
+
+
 def test_estimates_are_corrected_for_chance(spark, make):
     from pyspark.sql import functions as F
 

@@ -184,7 +184,7 @@ def test_archives_round_trip(spark, tmp_path):
     rows = [(i, f"http://h/{i}\r\nX: y", t) for i, t in enumerate(texts)]
     rows += [(1000 + i, "u", texts[0] + "z" * 1000) for i in range(30)] + [(5, "u", None), (None, None, None), (7, None, "x" * 2_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("size", F.lit(1)).repartition(3)
-    manifest = warc.write_archives(pages, str(tmp_path / "archives"), replace(warc.DEFAULTS, archive_bytes=100_000))
+    manifest = warc.write_archives(pages, str(tmp_path / "archives"), replace(warc.DEFAULTS, archive_bytes=20_000))
     paths = [r.path for r in manifest.collect()]
     assert len(paths) > 3 and sum(r.records for r in manifest.collect()) == len(rows)
     data = open(paths[0], "rb").read()
