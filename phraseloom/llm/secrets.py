@@ -102,7 +102,10 @@ def labelled_strings(docs: DataFrame, how: SecretScan = DEFAULTS, text_col: str
     value = F.when(kind == 0, digest).when(kind == 1, base64).when(kind == 2, upper).otherwise(mixed)
     random = spark.range(how.random_strings).select(value.alias("value"), F.lit(1).alias("label"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    chosen = docs.select(text.alias("text")).orderBy(F.xxhash64("text")).limit(how.sample_documents)
+    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("hash"))
+    # numbers are ordered, not texts; copies of a text count once
+    smallest = texts.select("hash").distinct().orderBy("hash").limit(how.sample_documents)
+    chosen = texts.join(F.broadcast(smallest), "hash").dropDuplicates(["hash"])
     # words without digits, so that no secret is taken for an identifier; four
     # at a time, joined in one of six ways
     pieces = F.regexp_extract_all("text", F.lit("(?<![A-Za-z])(?:[A-Za-z]++(?:[^A-Za-z]++|$)){1,4}"), F.lit(0))

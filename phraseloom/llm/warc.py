@@ -109,10 +109,12 @@ def _train(form: ArchiveFormat):
 
 def dictionary_of(rows: DataFrame, form: ArchiveFormat = DEFAULTS) -> bytes:
     """Trained in one task from at most ``sample_records`` records."""
-    sample = rows.orderBy(F.xxhash64("digest"), "digest").limit(form.sample_records)
+    # digests are ordered, not payloads; copies of a payload count once
+    chosen = rows.select("digest").distinct().orderBy(F.xxhash64("digest"), "digest").limit(form.sample_records)
     head = record("response", {}, b"")
     text = F.concat(F.lit(head), F.substring(F.col("payload"), 1, form.sample_bytes))
-    done = sample.select(text.alias("sample")).groupBy().applyInArrow(_train(form), "dictionary binary")
+    sample = rows.select("digest", text.alias("sample")).join(F.broadcast(chosen), "digest").dropDuplicates(["digest"])
+    done = sample.select("sample").groupBy().applyInArrow(_train(form), "dictionary binary")
     row = done.first()
     return bytes(row[0]) if row else b""
 
