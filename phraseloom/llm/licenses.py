@@ -3,8 +3,10 @@
 Every line of a file, and the file as a whole, is a sparse TF-IDF vector; its
 cosine to the vectors of the known notices names the license, if it reaches the
 threshold. Words outside the notices count in a vector's length only. Document
-frequencies are counted over all files, for the words of the notices (some
-hundred numbers); any other word has the weight of one that no file holds.
+frequencies are counted over all files, for all words, as a written table. A
+scan bounds each cosine from the words of the notices, whose weights it knows,
+and the least a word can weigh; units that may be a file's best are then joined
+with the frequencies of their other words, once for equal units.
 
 A file without a license of its own inherits that of the nearest directory
 above it (its own first) with a license file, by joins on paths: distinct
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,11 @@ NOTICES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
 )
+UNITS = "array<struct<dot:double,known:double,notice:int,outside:array<struct<word:bigint,n:int>>>>"
+# Sums of floats differ in their last bits.
+SLACK = 1e-6
+# Ranges are measured in parts of about this many words.
+STEP_WORDS = 1 << 21
 LICENSE_FILE = r"(?i)^(un)?licen[sc]e([._-].*)?$|^copying([._-].*)?$"
 
 
@@ -71,88 +79,178 @@ def _numbers(words: tb.Words, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[near] == words.hash, near, len(vocabulary))
 
 
-def _document_counts(how: LicenseScan):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, _ = _notice_words(how)
-        size = len(vocabulary) + 1
-        counts, n = np.zeros(size, dtype=np.int64), 0
-        for block in tb.blocks(batches, "text"):
-            words = tb.find_words(tb.texts_of(block.column("text")), tb.ALPHANUMERIC)
-            seen = np.unique(words.text_of() * size + _numbers(words, vocabulary))
-            counts += np.bincount(seen % size, minlength=size)
-            n += block.num_rows
-        counts[-1] = n
-        yield pa.RecordBatch.from_pydict({"word": pa.array(np.arange(size)), "documents": pa.array(counts)})
+# Distinct words of several blocks are merged before they leave a task.
+MERGE = 1 << 20
 
-    return run
 
+def _merged(words: list[np.ndarray], counts: list[np.ndarray], n: int) -> pa.RecordBatch:
+    """Documents by word, and all documents at the null word."""
+    word, which = np.unique(np.concatenate([np.zeros(0, tb.U64), *words]), return_inverse=True)
+    count = np.bincount(which, weights=np.concatenate([np.zeros(0, np.int64), *counts]), minlength=len(word))
+    names = pa.concat_arrays([pa.array(word.view(np.int64)), pa.nulls(1, pa.int64())])
+    return pa.RecordBatch.from_pydict({"word": names, "documents": pa.array(np.append(count.astype(np.int64), n))})
 
-def word_weights(files: DataFrame, how: LicenseScan = DEFAULTS) -> np.ndarray:
-    """IDF of the notices' words, and of any other word at the end."""
-    counted = files.select("text").mapInArrow(_document_counts(how), "word long, documents long")
-    rows = dict(counted.groupBy("word").agg(F.sum("documents")).collect())
-    size = len(_notice_words(how)[0])
-    counts = np.array([rows.get(i, 0) for i in range(size + 1)], dtype=float)
-    n = counts[-1]
-    return np.log((1 + n) / (1 + np.append(counts[:-1], 0))) + 1
 
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words, counts, n = [], [], 0
+    for block in tb.blocks(batches, "text"):
+        found = tb.find_words(tb.texts_of(block.column("text")), tb.ALPHANUMERIC)
+        word, which = np.unique(found.hash, return_inverse=True)
+        seen = np.unique(found.text_of() * len(word) + which)
+        words.append(word)
+        counts.append(np.bincount(seen % max(len(word), 1), minlength=len(word)))
+        n += block.num_rows
+        if sum(map(len, words)) > MERGE:
+            yield _merged(words, counts, n)
+            words, counts, n = [], [], 0
+    yield _merged(words, counts, n)
+
+
+def word_documents(files: DataFrame) -> DataFrame:
+    """(word, documents) of every word, and of the null word the number of all
+    documents; a written table."""
+    counted = files.select("text").mapInArrow(_document_counts, "word long, documents long")
+    return stage(counted.groupBy("word").agg(F.sum("documents").alias("documents")), "word-documents")
+
+
+def word_weights(counted: DataFrame, how: LicenseScan = DEFAULTS) -> tuple[np.ndarray, int]:
+    """(IDF of the notices' words, number of documents)."""
+    vocabulary = _notice_words(how)[0].view(np.int64)
+    wanted = ",".join(map(str, vocabulary.tolist()))
+    rows = {r[0]: r[1] for r in counted.where(f"word is null or word in ({wanted})").collect()}
+    n = rows.get(None, 0)
+    return np.log((1 + n) / (1 + np.array([rows.get(i, 0) for i in vocabulary.tolist()], dtype=float))) + 1, n
 
-def _cosines(unit: np.ndarray, number: np.ndarray, hashes: np.ndarray, n: int, weights, notices) -> tuple[np.ndarray, np.ndarray]:
-    """(best cosine, its notice) of each unit, from its words."""
-    order = np.lexsort((hashes, unit))
-    unit, number, hashes = unit[order], number[order], hashes[order]
-    new = np.ones(len(unit), dtype=bool)
-    new[1:] = (unit[1:] != unit[:-1]) | (hashes[1:] != hashes[:-1])
-    head = np.flatnonzero(new)
-    count = np.diff(np.append(head, len(unit)))
-    unit, number = unit[head], number[head]
-    value = count * weights[number]
-    length = np.sqrt(np.bincount(unit, weights=value**2, minlength=n))
-    best, which = np.zeros(n), np.zeros(n, dtype=np.int64)
-    for k, notice in enumerate(notices):
-        dot = np.bincount(unit, weights=value * notice[number], minlength=n)
-        cosine = np.divide(dot, length, out=np.zeros(n), where=length > 0).round(12)
-        better = cosine > best
-        best[better], which[better] = cosine[better], k
-    return best, which
 
+class Ranges(NamedTuple):
+    """Ranges of words, each beside a notice."""
 
-def _scan(how: LicenseScan, weights: np.ndarray):
-    names = np.array([name for name, _ in how.notices], dtype=object)
+    start: np.ndarray
+    end: np.ndarray
+    notice: np.ndarray
 
+
+def _take(ranges: Ranges, which: np.ndarray) -> Ranges:
+    return Ranges(*(x[which] for x in ranges))
+
+
+def _candidates(text, line, number, value, notices, how: LicenseScan) -> Ranges:
+    """The ranges whose cosine may reach the threshold, whatever the words
+    outside the notices weigh: at least 1, by the definition of the IDF."""
+    edges = lambda of: np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))
+    starts, ends = (np.concatenate([edges(line)[i : len(edges(line)) - 1 + i], edges(text)[i : len(edges(text)) - 1 + i]]) for i in (0, 1))
+    length = np.append(0, np.cumsum(value**2))
+    found = []
+    for k, notice in enumerate(notices):
+        dot = np.append(0, np.cumsum(value * notice[number]))
+        near = dot[ends] - dot[starts] >= (how.threshold - SLACK) * np.sqrt(length[ends] - length[starts])
+        found.append((starts[near], ends[near], np.full(near.sum(), k)))
+    return Ranges(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+def _measure(ranges: Ranges, number, hashes, weights, notices, most: float):
+    """Of each range (dot, squared length of known words, least and greatest
+    cosine), and (range, word, count) of the words outside the notices."""
+    m, size = len(ranges.start), ranges.end - ranges.start
+    of = np.repeat(np.arange(m), size)
+    at = np.arange(int(size.sum())) + np.repeat(ranges.start - np.append(0, np.cumsum(size)[:-1]), size)
+    order = np.lexsort((hashes[at], of))
+    of, at = of[order], at[order]
+    new = np.ones(len(of), dtype=bool)
+    new[1:] = (of[1:] != of[:-1]) | (hashes[at[1:]] != hashes[at[:-1]])
+    head = np.flatnonzero(new)
+    count = np.diff(np.append(head, len(of)))
+    of, at = of[head], at[head]
+    outside = number[at] == len(weights)
+    value = count * np.append(weights, 0)[number[at]]
+    dot = np.bincount(of, weights=value * notices[ranges.notice[of], number[at]], minlength=m)
+    known = np.bincount(of, weights=value**2, minlength=m)
+    other = np.bincount(of, weights=np.where(outside, count, 0) ** 2, minlength=m)
+    least, greatest = (np.divide(dot, np.sqrt(known + other * w**2), out=np.zeros(m), where=dot > 0) for w in (most, 1))
+    return dot, known, least, greatest, of[outside], hashes[at][outside].view(np.int64), count[outside]
+
+
+def _scan(how: LicenseScan, weights: np.ndarray, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, given = _notice_words(how)
         notices = np.zeros((len(how.notices), len(vocabulary) + 1))
         np.add.at(notices, (given.text_of(), _numbers(given, vocabulary)), 1)
-        notices *= weights
+        notices *= np.append(weights, 0)
         notices /= np.sqrt((notices**2).sum(axis=1, keepdims=True))
+        most = np.log((1 + n) / 2) + 1  # of a word in a single document
         for block in tb.blocks(batches, "text"):
             texts = tb.texts_of(block.column("text"))
             words = tb.find_words(texts, tb.ALPHANUMERIC)
             text, number = words.text_of(), _numbers(words, vocabulary)
-            breaks = np.flatnonzero(texts.data == 10)
-            line = np.searchsorted(breaks, words.start) + text
-            best, which = np.zeros(block.num_rows), np.zeros(block.num_rows, dtype=np.int64)
-            for unit in (line, text):
-                # units without any word of a notice have cosine 0
-                named, unit = np.unique(unit, return_inverse=True)
-                known = np.bincount(unit, weights=number < len(vocabulary), minlength=len(named)) > 0
-                on = known[unit]
-                cosine, notice = _cosines(unit[on], number[on], words.hash[on], len(named), weights, notices)
-                of = np.zeros(len(named), dtype=np.int64)
-                of[unit] = text
-                top = np.lexsort((notice, -cosine, of))
-                top = top[np.unique(of[top], return_index=True)[1]]
-                top = top[cosine[top] > best[of[top]]]
-                best[of[top]], which[of[top]] = cosine[top], notice[top]
-            found = best >= how.threshold
-            kept = {c: block.column(c) for c in block.schema.names if c != "text"}
-            own = pa.array(np.where(found, names[which], None).tolist(), pa.string())
-            yield pa.RecordBatch.from_pydict(kept | {"own_license": own, "own_score": pa.array(best, mask=~found)})
+            line = np.searchsorted(np.flatnonzero(texts.data == 10), words.start) + text
+            # no part of a file is nearer to a notice than all that the file
+            # has of its words
+            pairs = np.unique(text * (len(vocabulary) + 1) + number)
+            owner, word = np.divmod(pairs, len(vocabulary) + 1)
+            near = np.zeros(block.num_rows, dtype=bool)
+            for notice in notices:
+                near |= np.bincount(owner, weights=notice[word] ** 2, minlength=block.num_rows) >= (how.threshold - SLACK) ** 2
+            on = near[text]
+            text, line, number, hashes = text[on], line[on], number[on], words.hash[on]
+            columns = [[] for _ in range(5)]
+            outside = [[] for _ in range(3)]
+            if len(text):
+                ranges = _candidates(text, line, number, np.append(weights, 1)[number], notices, how)
+                parts = np.cumsum(ranges.end - ranges.start) // STEP_WORDS
+                for part in np.unique(parts):
+                    some = _take(ranges, parts == part)
+                    dot, known, least, greatest, of, word, count = _measure(some, number, hashes, weights, notices, most)
+                    base = sum(map(len, columns[0]))
+                    for to, x in zip(columns, (text[some.start], some.notice, dot, known, np.stack([least, greatest], 1)), strict=True):
+                        to.append(x)
+                    for to, x in zip(outside, (of + base, word, count), strict=True):
+                        to.append(x)
+            yield _units(block, columns, outside, how)
 
     return run
 
 
+def _units(block: pa.RecordBatch, columns, outside, how: LicenseScan) -> pa.RecordBatch:
+    """The block without its text, with the units that may be a file's best."""
+    integers = np.zeros(0, np.int64)
+    owner, notice, dot, known = (np.concatenate([e, *x]) for e, x in zip((integers, integers, np.zeros(0), np.zeros(0)), columns, strict=False))
+    least, greatest = np.concatenate([np.zeros((0, 2)), *columns[4]]).T
+    of, word, count = (np.concatenate([integers, *x]) for x in outside)
+    best = np.zeros(block.num_rows)
+    np.maximum.at(best, owner, least)
+    stays = (greatest >= how.threshold - SLACK) & (greatest >= best[owner] - SLACK)
+    order = np.flatnonzero(stays)[np.argsort(owner[stays], kind="stable")]
+    place = np.full(len(owner), -1)
+    place[order] = np.arange(len(order))
+    of, word, count = place[of][stays[of]], word[stays[of]], count[stays[of]]
+    turn = np.argsort(of, kind="stable")
+    words = pa.StructArray.from_arrays([pa.array(word[turn]), pa.array(count[turn].astype(np.int32))], names=["word", "n"])
+    units = pa.StructArray.from_arrays(
+        [pa.array(dot[order]), pa.array(known[order]), pa.array(notice[order].astype(np.int32)), tb.lists(words, np.bincount(of, minlength=len(order)))],
+        names=["dot", "known", "notice", "outside"],
+    )
+    kept = {c: block.column(c) for c in block.schema.names if c != "text"}
+    return pa.RecordBatch.from_pydict(kept | {"units": tb.lists(units, np.bincount(owner[order], minlength=block.num_rows))})
+
+
+def best_notices(scanned: DataFrame, counted: DataFrame, n: int, how: LicenseScan = DEFAULTS) -> DataFrame:
+    """(row, own_license, own_score) of the rows with a unit at the threshold."""
+    units = scanned.select("row", F.inline("units"))
+    open_units = units.where(F.size("outside") > 0).withColumn("key", F.xxhash64("outside"))
+    # what the words outside the notices weigh, once for equal units
+    weight = F.log((1 + F.lit(n)) / (1 + F.col("documents"))) + 1
+    once = open_units.select("key", "outside").dropDuplicates(["key"]).select("key", F.inline("outside"))
+    length = once.join(counted, "word").groupBy("key").agg(F.sum((F.col("n") * weight) ** 2).alias("other"))
+    length = stage(length, "license-units")
+    both = units.where(F.size("outside") == 0).select("row", "dot", "known", "notice", F.lit(0.0).alias("other"))
+    both = both.unionByName(open_units.join(length, "key").select("row", "dot", "known", "notice", "other"))
+    score = F.round(F.col("dot") / F.sqrt(F.col("known") + F.col("other")), 12)
+    found = both.select("row", "notice", score.alias("score")).where(F.col("score") >= how.threshold)
+    top = found.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("score"), "notice")).alias("top"))
+    names = F.array(*(F.lit(name) for name, _ in how.notices))
+    return top.select("row", F.get(names, F.col("top.notice")).alias("own_license"), (-F.col("top.score")).alias("own_score"))
+
+
 def directory_of(path: Column) -> Column:
     """What comes before the last slash; '' where there is none."""
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(path.isNotNull(), ""))
@@ -185,9 +283,12 @@ def licensed(
         F.col(path_col).cast("string").alias("path"),
         F.col(text_col).alias("text"),
     )
-    weights = word_weights(given, how)
+    counted = word_documents(given)
+    weights, n = word_weights(counted, how)
     kept_type = given.schema["kept"].dataType.simpleString()
-    own = given.mapInArrow(_scan(how, weights), f"kept {kept_type}, path string, own_license string, own_score double")
+    scanned = given.mapInArrow(_scan(how, weights, n), f"kept {kept_type}, path string, units {UNITS}")
+    scanned = stage(scanned.withColumn("row", F.monotonically_increasing_id()), "license-scan")
+    own = scanned.drop("units").join(best_notices(scanned, counted, n, how), "row", "left").drop("row")
     own = stage(own.withColumn("directory", directory_of(F.col("path"))), "licenses")
 
     named = own.where(name_of(F.col("path")).rlike(LICENSE_FILE) & F.col("own_license").isNotNull())

@@ -233,3 +233,13 @@ def test_license_lines_of_the_documents_are_found(spark, sf_dir):
     rows = licenses.licensed(docs.withColumn("want", want), keep=("want",))
     wrong = rows.where(~F.col("own_license").eqNullSafe(F.col("want")) & F.col("want").isNotNull())
     assert rows.where("want is not null").count() > 10 and wrong.count() == 0
+
+
+@pytest.mark.parametrize("rows", [300, 6000])
+def test_common_words_around_a_notice_weigh_little(spark, rows):
+    common = "copyright 2019 by acme and its friends all of this file is free to read version 2 0 under the license"
+    lines = ["Copyright 2019 by Acme and its friends. This file is licensed under the Apache License, Version 2.0.", "All of this file is released under the MIT License."]
+    line = F.when(F.col("id") % 20 == 0, F.get(F.array(*map(F.lit, lines)), (F.col("id") % 40 / 20).cast("int"))).otherwise("")
+    files = spark.range(rows).select("id", F.concat(F.lit("d/"), "id").alias("path"), F.concat_ws("\n", F.lit(common), F.concat(F.lit("w"), "id"), line).alias("text"))
+    got = {r.id: r.own_license for r in licenses.licensed(files, keep=("id",)).collect()}
+    assert all(got[i] == (["Apache-2.0", "MIT"][i % 40 // 20] if i % 20 == 0 else None) for i in range(rows))
