@@ -243,3 +243,21 @@ def test_common_words_around_a_notice_weigh_little(spark, rows):
     files = spark.range(rows).select("id", F.concat(F.lit("d/"), "id").alias("path"), F.concat_ws("\n", F.lit(common), F.concat(F.lit("w"), "id"), line).alias("text"))
     got = {r.id: r.own_license for r in licenses.licensed(files, keep=("id",)).collect()}
     assert all(got[i] == (["Apache-2.0", "MIT"][i % 40 // 20] if i % 20 == 0 else None) for i in range(rows))
+
+
+def test_headers_titles_tags_texts_and_wrapped_notices(spark):
+    texts = dict(licenses.licensetexts.texts())
+    header = dict(licenses.licensetexts.HEADERS)["GPL-2.0"]
+    wrapped = "\n".join(f" * {header[i:i + 60].strip()}" for i in range(0, len(header), 60))
+    prose = " ".join(f"lorem{i} ipsum" for i in range(400))
+    cases = [
+        ("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"), ("GPL", "GNU GENERAL PUBLIC LICENSE"), ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0\ncode"),
+        ("GPL-2.0-only OR MIT", "/* SPDX-License-Identifier: GPL-2.0-only OR MIT */"), ("GPL", " it under the terms of the GNU General Public License as published by"),
+        ("GPL-2.0", f"/*\n{wrapped}\n */\n{prose}"), ("Apache-2.0", f"{prose} Licensed under the Apache License, Version 2.0. {prose}"),
+        ("MIT", f"{prose}\nReleased under\nthe MIT License.\n{prose}"), ("MIT", f"{prose}\n{texts['MIT']}\n{prose}"), ("GPL-3.0", f"{texts['GPL-3.0']}\n{prose}"),
+        ("BSD-3-Clause", texts["BSD-3-Clause"]), ("BSD-2-Clause", texts["BSD-2-Clause"]), ("LGPL-2.1", texts["LGPL-2.1"]), ("AGPL-3.0", texts["AGPL-3.0"]),
+        ("BSD-2-Clause", f"{prose}\n{texts['BSD-2-Clause']}\n{prose}"), (None, f"{prose} the license of the file under which it is"), (None, prose),
+    ]
+    files = spark.createDataFrame([(w, f"d{i}/f", t) for i, (w, t) in enumerate(cases)] + [(None, f"p/{i}", f"{prose} the of and to file {i}") for i in range(300)], "want string, path string, text string")
+    wrong = [(r.path, r.want, r.own_license, r.own_score) for r in licenses.licensed(files, keep=("want",)).collect() if r.own_license != r.want]
+    assert not wrong
