@@ -47,10 +47,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def license_paths(docs: DataFrame) -> DataFrame:
     """The documents as files of a tree: per source, directories of 1,000 ids
-    and in them of 50; the first of each 50 is the directory's LICENSE."""
-    low = F.col("doc_id") - F.pmod("doc_id", F.lit(50))
-    name = F.when(F.pmod("doc_id", F.lit(50)) == 0, "LICENSE").otherwise(F.concat("doc_id", F.lit(".txt")))
-    path = F.concat_ws("/", "source", (low - F.pmod(low, F.lit(1000))).cast("string"), low.cast("string"), name)
+    and in them of 50; the first of each 50 is the LICENSE of the lowest
+    directory, the second one of the directory above, the third one of the
+    source's."""
+    turn = F.pmod("doc_id", F.lit(50))
+    low = F.col("doc_id") - turn
+    high = (low - F.pmod(low, F.lit(1000))).cast("string")
+    more = F.concat(F.lit("LICENSE."), "doc_id")
+    name = F.when(turn == 0, "LICENSE").otherwise(F.concat("doc_id", F.lit(".txt")))
+    path = (
+        F.when(turn == 1, F.concat_ws("/", "source", high, more))
+        .when(turn == 2, F.concat_ws("/", "source", more))
+        .otherwise(F.concat_ws("/", "source", high, low.cast("string"), name))
+    )
     return docs.select("doc_id", path.alias("path"), "text")
 
 

@@ -261,3 +261,10 @@ def test_headers_titles_tags_texts_and_wrapped_notices(spark):
     files = spark.createDataFrame([(w, f"d{i}/f", t) for i, (w, t) in enumerate(cases)] + [(None, f"p/{i}", f"{prose} the of and to file {i}") for i in range(300)], "want string, path string, text string")
     wrong = [(r.path, r.want, r.own_license, r.own_score) for r in licenses.licensed(files, keep=("want",)).collect() if r.own_license != r.want]
     assert not wrong
+
+
+def test_the_tree_of_the_query_inherits_over_levels(spark):
+    lines = {2: "Released under the MIT License.", 1001: "Licensed under CC BY 4.0.", 1050: "Licensed under the Apache License, Version 2.0."}
+    docs = spark.createDataFrame([(i, lines.get(i, f"text {i}"), "s") for i in range(2000)], "doc_id long, text string, source string")
+    got = licenses.licensed(queries.license_paths(docs), keep=("doc_id",)).groupBy("inherited_from").agg(F.first("license").alias("license")).collect()
+    assert {(r.inherited_from, r.license) for r in got if r.inherited_from} == {("s", "MIT"), ("s/1000", "CC-BY-4.0"), ("s/1000/1050", "Apache-2.0")}
