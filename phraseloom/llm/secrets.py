@@ -5,7 +5,10 @@ like, access keys, long hexadecimal strings. For the rest, every run of
 ``min_length`` or more key characters is scored by two character Markov models,
 one of random strings and one of ordinary identifiers: the sum over its
 character pairs of log(p_random / p_ordinary), per character. What reaches the
-threshold, and overlaps no pattern's span, is reported as ``random``.
+threshold is reported as ``random``. A run that does not may still hold a key
+beside ordinary words, as paths do: its stretches of high ratios are found by a
+running sum and reported up to the next / _ or - on both sides. Spans of the
+patterns are blanks to the models, which see what is left of a run.
 
 Both models are trained here by pair counts over labelled samples (value,
 label). The default sample is derived by Spark: random strings of several
@@ -35,6 +38,10 @@ from phraseloom.functions.columns import let
 class SecretScan:
     min_length: int = 20
     threshold: float = 0.4  # nats per character
+    # A stretch of a run must be this far above the threshold in sum, and ends
+    # where the sum has fallen this far below its peak (nats).
+    evidence: float = 12.0
+    drop: float = 8.0
     sample_documents: int = 500
     random_strings: int = 20000
     smoothing: float = 0.5
@@ -51,11 +58,13 @@ CLASS = "[A-Za-z0-9+/_-]"
 SIDE = len(CHARACTERS) + 1
 SPAN = "struct<kind:int,start:int,end:int>"
 NONE = f"array<{SPAN}>"
+PARTS = "array<struct<start:int,end:int>>"
 
 
-def spans_of(text: Column, pattern: str, kind: int, passes=None) -> Column:
+def spans_of(text: Column, pattern: str, kind: int, passes=None, parts=None) -> Column:
     """array<struct(kind, start, end)> of the leftmost matches, without those
-    whose string fails ``passes``."""
+    whose string fails ``passes``; or of the ``parts`` of their strings, an
+    array<struct(start, end)>."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), m.alias("s")))
@@ -66,7 +75,11 @@ def spans_of(text: Column, pattern: str, kind: int, passes=None) -> Column:
         end = begin + x["m"]
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"))
         ok = F.lit(True) if passes is None else passes(x["s"])
-        spans = F.when(ok, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+        new = F.array(span)
+        if parts is not None:
+            moved = lambda p: F.struct(F.lit(kind).alias("kind"), (begin + p["start"]).alias("start"), (begin + p["end"]).alias("end"))
+            new = F.transform(parts(x["s"]), moved)
+        spans = F.when(ok, F.concat(acc["spans"], new)).otherwise(acc["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
 
     found = F.aggregate(lengths, start, step, lambda acc: acc["spans"])
@@ -145,32 +158,90 @@ def likelihood_ratio(value: Column, model: list[float]) -> Column:
     return let(_pairs(value), mean)
 
 
-def _apart(spans: Column, others: Column) -> Column:
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
+def random_parts(value: Column, model: list[float], how: SecretScan = DEFAULTS) -> Column:
+    """array<struct(start, end)>: the whole run if it reaches the threshold; or
+    else its stretches of high ratios, to the next / _ - on both sides."""
+    table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
+    none = F.array().cast(PARTS)
+
+    def closed(acc: Column) -> Column:
+        good = (acc["peak"] >= how.evidence) & (acc["end"] - acc["start"] + 1 >= how.min_length)
+        part = F.struct(acc["start"].alias("start"), (acc["end"] + 1).alias("end"))
+        return F.when(good, F.concat(acc["found"], F.array(part))).otherwise(acc["found"])
+
+    def step(acc: Column, pair: Column) -> Column:
+        total, at = acc["sum"] + F.get(table, pair) - how.threshold, acc["at"] + 1
+        ends = (total <= 0) | (total < acc["peak"] - how.drop)
+        higher = total > acc["peak"]
+        return F.struct(
+            at.alias("at"),
+            F.when(ends, at).otherwise(acc["start"]).alias("start"),
+            F.when(ends, 0.0).otherwise(total).alias("sum"),
+            F.when(ends, 0.0).otherwise(F.greatest(acc["peak"], total)).alias("peak"),
+            F.when(ends | higher, at).otherwise(acc["end"]).alias("end"),
+            F.when(ends, closed(acc)).otherwise(acc["found"]).alias("found"),
+        )
+
+    zero = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.lit(0).alias("end"), none.alias("found")
+    )
+
+    def widened(p: Column) -> Column:
+        before = F.length(F.regexp_extract(F.substring(value, F.lit(1), p["start"]), "[A-Za-z0-9+]*$", 0))
+        after = F.length(F.regexp_extract(F.substring(value, p["end"] + 1, F.length(value)), "^[A-Za-z0-9+]*", 0))
+        return F.struct((p["start"] - before).alias("start"), (p["end"] + after).alias("end"))
+
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(value).alias("end")))
 
+    def parts(pairs: Column) -> Column:
+        stretches = F.array_distinct(F.transform(F.aggregate(pairs, zero, step, closed), widened))
+        return F.when(likelihood_ratio(value, model) >= how.threshold, whole).otherwise(stretches)
+
+    return let(_pairs(value), parts)
+
+
+def masked_text(text: Column, spans: Column) -> Column:
+    """The text with blanks where spans are, which are in order."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
-def found_spans(text: Column, model: list[float] | None, how: SecretScan = DEFAULTS) -> tuple[Column, Column]:
-    """(spans of the patterns, spans added by the models)."""
-    assign = spans_of(text, ASSIGN, 0, lambda m: F.length(_value_of(m)) >= 8)
-    access = spans_of(text, ACCESS, 1, lambda m: F.length(m) >= 16)
-    base = F.concat(assign, access, spans_of(text, HEX, 2))
+    def step(acc: Column, s: Column) -> Column:
+        begin = F.greatest(acc["at"], s["start"])
+        end = F.greatest(acc["at"], s["end"])
+        gap = F.substring(text, acc["at"] + 1, begin - acc["at"])
+        return F.struct(end.alias("at"), F.concat(acc["parts"], F.array(gap, F.repeat(F.lit(" "), end - begin))).alias("parts"))
+
+    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+
+
+def _ordered(spans: Column) -> Column:
+    by_start = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return F.transform(F.array_sort(by_start), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def found_spans(
+    text: Column, model: list[float] | None, how: SecretScan = DEFAULTS, base: Column | None = None
+) -> tuple[Column, Column]:
+    """(spans of the patterns, spans added by the models beside them)."""
+    if base is None:
+        assign = spans_of(text, ASSIGN, 0, lambda m: F.length(_value_of(m)) >= 8)
+        access = spans_of(text, ACCESS, 1, lambda m: F.length(m) >= 16)
+        base = _ordered(F.concat(assign, access, spans_of(text, HEX, 2)))
     if model is None:
         return base, F.array().cast(NONE)
     run = f"(?<!{CLASS}){CLASS}{{{how.min_length},}}"
-    return base, spans_of(text, run, 3, lambda m: likelihood_ratio(m, model) >= how.threshold)
+    added = let(masked_text(text, base), lambda t: spans_of(t, run, 3, parts=lambda m: random_parts(m, model, how)))
+    return base, added
 
 
 def scanned(docs: DataFrame, how: SecretScan = DEFAULTS, samples: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``spans``, arrays of (kind, start, end) in
     order; ``docs`` must not have columns of these names."""
     samples = labelled_strings(docs, how, text_col) if samples is None else samples
-    base, added = found_spans(F.coalesce(F.col(text_col), F.lit("")), trained(samples, how), how)
-    rows = docs.withColumn("base", base).withColumn("spans", _apart(added, F.col("base")))
-    order = lambda c: F.transform(
-        F.array_sort(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))),
-        lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
-    )
-    return rows.withColumn("spans", order(F.concat("base", "spans"))).withColumn("base", order(F.col("base")))
+    text, model = F.coalesce(F.col(text_col), F.lit("")), trained(samples, how)
+    rows = docs.withColumn("base", found_spans(text, None)[0])
+    _, added = found_spans(text, model, how, F.col("base"))
+    return rows.withColumn("spans", added).withColumn("spans", _ordered(F.concat("base", "spans")))
 
 
 def span_text(spans: Column) -> Column:
