@@ -6,7 +6,7 @@ compare them with brute-force versions."""
 
 from __future__ import annotations
 
-from phraseloom.llm import neardup, quality
+from phraseloom.llm import collocations, neardup, quality
 from phraseloom.llm.decontaminate import WINDOW
 
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -128,10 +128,43 @@ SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
 FROM given LEFT JOIN latest USING (h)"""
 
 
+def collocations_sql() -> str:
+    how = collocations.DEFAULTS
+    return rf"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, {folded("text")} AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM docs),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, size, w[i : i + size - 1] AS g
+  FROM words, range(1, {how.longest + 1}) AS s(size), range(1, len(w) - size + 2) AS x(i)),
+counted AS MATERIALIZED (
+  SELECT lang, size, g, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY ALL HAVING count(*) >= {how.min_count}),
+candidates AS MATERIALIZED (SELECT * FROM counted WHERE size > 1),
+inner_phrases AS (
+  SELECT lang, g[i : i + k - 1] AS g, max(f) AS most
+  FROM candidates, range(2, {how.longest}) AS s(k), range(1, size - k + 2) AS x(i) WHERE k < size GROUP BY ALL),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, x.f AS l, y.f AS r, t.n, k, (1000 * c.f * t.n) // (x.f * y.f) AS score
+  FROM candidates c JOIN total t USING (lang), range(1, {how.longest}) AS s(k)
+  JOIN counted x ON x.lang = c.lang AND x.g = c.g[1 : k]
+  JOIN counted y ON y.lang = c.lang AND y.g = c.g[k + 1 : c.size]
+  WHERE k < c.size),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+kept AS (
+  SELECT w.*, array_to_string(w.g, ' ') AS phrase FROM weakest w LEFT JOIN inner_phrases i ON i.lang = w.lang AND i.g = w.g
+  WHERE i.most IS NULL OR 100 * i.most < 100 * w.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= {how.top}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_sql(),
         "op4_decontamination": decontamination_sql(),
         "op7_near_duplicates": near_duplicates_sql(),
         "op10_warc_archives": warc_sql(),
+        "op12_collocations": collocations_sql(),
     }

@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phraseloom.llm import (
+    alignment,
     bpe,
+    collocations,
     decontaminate,
+    fingerprints,
     licenses,
     neardup,
     quality,
@@ -23,6 +26,7 @@ from phraseloom.llm import (
     urlfilter,
     warc,
 )
+from phraseloom.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -131,6 +135,24 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.aligned(table(spark, sf_dir, "documents"), *paths)
+    digest = F.coalesce(F.sha2("groups", 256), F.lit("")).alias("groups_sha256")
+    found = stage(found.select("*", digest).drop("groups"), "aligned")
+    return alignment.scored(found).withColumnRenamed("id", "doc_id")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda: [F.sha2("edited", 256).alias("edited_sha256")]
+    found = fingerprints.compared(table(spark, sf_dir, "documents"), keep=digest)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     own = [
         op1_quality_rules,
@@ -143,5 +165,8 @@ def queries() -> dict[str, Query]:
         op8_sharding,
         op9_url_filter,
         op10_warc_archives,
+        op11_token_alignment,
+        op12_collocations,
+        op13_fingerprints,
     ]
     return {f.__name__: f for f in own}
