@@ -1,6 +1,7 @@
 """Alignment of two tokenizers' tokens, by divide and conquer at shared cuts.
 
-A text is encoded by a byte-level BPE (A) and by a piece BPE (B). Byte offsets
+A text is encoded by a byte-level BPE (A; a ``tokenizers`` file, whose ids are
+the ranks that ``tiktoken`` merges by) and by a piece BPE (B). Byte offsets
 at which tokens of both end are cuts. An interval of tokens is halved at the
 cut nearest its middle, found by bisection of the other side's ends; both
 halves are cut likewise, and an interval without a cut is a group. Every A
@@ -35,17 +36,18 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
+from public_tokenizers import PATTERN
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
-from tokenizers import Tokenizer
 
 from phraseloom.llm import textblocks as tb
 from phraseloom.llm.bpe import byte_symbols
 from phraseloom.staging import stage
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 # a blank after one of these begins a chunk, but not at the end of a text: no
 # white space among them
 SAFE = "[!-~À-ɏ]"
@@ -99,16 +101,18 @@ class Aligned(NamedTuple):
 
 class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
-        self.a = Tokenizer.from_file(byte_path)
-        self.a.encode_special_tokens = True
-        self.a.no_padding()
-        self.a.no_truncation()
-        self.b = SentencePieceProcessor(model_file=piece_path)
         byte = {s: i for i, s in enumerate(byte_symbols())}
         with open(byte_path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            model = json.load(f)["model"]
+        vocabulary = model["vocab"]
+        made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if made != sorted(made):
+            raise ValueError(f"{byte_path}: ids are not in the order of merges")
         # an entry with other symbols is an added token, which no text yields
         spelled = {i: bytes(byte[c] for c in t) for t, i in vocabulary.items() if all(c in byte for c in t)}
+        ranks = {t: i for i, t in spelled.items()}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = SentencePieceProcessor(model_file=piece_path)
         self.bytes_a = pa.array([spelled.get(i, b"") for i in range(max(spelled) + 1)], pa.large_binary())
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = pa.array(
@@ -124,8 +128,7 @@ class Aligner:
         """Ids of ``chunks``, which begin with the blank that B adds."""
         if not chunks:
             return [], []
-        a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
-        return a, self.b.encode([c[1:] for c in chunks], num_threads=1)
+        return [self.a.encode_ordinary(c) for c in chunks], self.b.encode([c[1:] for c in chunks], num_threads=1)
 
     def spells(self, chunk: str, a: list[int], b: list[int]) -> bool:
         """Whether the tokens of either side join to the chunk."""
