@@ -12,9 +12,9 @@ limit is dropped, every other is confirmed on the full shingle sets.
 With 36 bands of 5 rows a pair at the limit of 0.8 shares no band with a
 probability of 6e-7.
 
-No bucket's pairs are emitted at large. First every member of a bucket meets
-the bucket's leader, one pair per member, of which each class confirms its
-best; pairs that are then still apart are confirmed too. Next, only members
+No bucket's pairs are emitted at large. First every class meets one leader, of
+the buckets it is in; then those of its other leaders that it is still apart
+from. Next, only members
 that are not connected with their bucket's leader meet the rest, block by block:
 signatures and then sets are compared inside the task, which emits a link only
 where it connects something new. So every candidate pair is either connected
@@ -216,26 +216,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
 
 
 def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, how: MinHash) -> DataFrame:
-    """The confirmed of ``pairs``: first the best pair of each class is
-    confirmed, then those whose ends are still apart."""
-    edges = None
+    """The confirmed of ``pairs``."""
+    pairs = stage(estimated(pairs, classes, how), "candidates")
     sets = stage(shingle_sets(pairs, docs, classes, how), "shingle-sets")
-    best = pairs.groupBy(F.col("b").alias("of")).agg(F.max_by("a", "equal").alias("a"))
-    best = best.select("a", F.col("of").alias("b"))
-    for todo in (best, pairs.select("a", "b")):
-        if edges is not None:
-            todo = apart(todo, components(edges))
-        found = confirmed(stage(todo, "pairs"), sets, how)
-        edges = stage(found if edges is None else edges.unionByName(found), "links")
-    return edges
+    return stage(confirmed(pairs.select("a", "b"), sets, how), "links")
+
+
+def with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with the ``label`` of each and that of its leader."""
+    own = F.coalesce("label", "vertex").alias("label")
+    labelled = members.join(labels.withColumnRenamed("id", "vertex"), "vertex", "left").select(*members.columns, own)
+    of_leader = labels.select(F.col("id").alias("leader"), F.col("label").alias("leader_label"))
+    labelled = labelled.join(of_leader, "leader", "left")
+    return labelled.withColumn("leader_label", F.coalesce("leader_label", "leader"))
 
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends have different labels."""
-    label_a = labels.select(F.col("id").alias("a"), F.col("label").alias("label_a"))
-    label_b = labels.select(F.col("id").alias("b"), F.col("label").alias("label_b"))
-    both = pairs.join(label_a, "a", "left").join(label_b, "b", "left")
-    return both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+def leader_links(members: DataFrame, docs: DataFrame, classes: DataFrame, how: MinHash) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) of members with the leaders of their buckets. Each class
+    first meets the leader that it shares most buckets with, one pair a class;
+    then it meets those of its leaders that it is still apart from."""
+    meets = members.where((F.col("vertex") != F.col("leader")) & near_in_size(how, F.col("n"), F.col("leader_n")))
+    first = meets.groupBy(F.col("vertex").alias("b")).agg(F.mode("leader", True).alias("a")).select("a", "b")
+    edges = links(first, docs, classes, how)
+    labelled = with_labels(meets, components(edges)).where("label <> leader_label")
+    rest = labelled.select(F.col("leader").alias("a"), F.col("vertex").alias("b")).distinct()
+    more = links(rest, docs, classes, how)
+    edges = stage(edges.unionByName(more), "links")
+    return edges, components(edges)
 
 
 def _compare(how: MinHash):
@@ -288,16 +295,16 @@ def odd_links(members: DataFrame, docs: DataFrame, classes: DataFrame, labels: D
     members whose label is not their leader's. ``members``: (key, vertex,
     leader, of). Buckets that share members are one cluster, in which a class
     has one row however many buckets it is in."""
-    own = F.coalesce("label", "vertex").alias("label")
-    labelled = members.where("of > 2").join(labels.withColumnRenamed("id", "vertex"), "vertex", "left")
-    of_leader = labels.select(F.col("id").alias("leader"), F.col("label").alias("leader_label"))
-    labelled = labelled.select(*members.columns, own).join(of_leader, "leader", "left")
-    odd = F.col("label") != F.coalesce("leader_label", "leader")
-    labelled = stage(labelled.withColumn("odd", odd), "members")
+    labelled = with_labels(members.where("of > 2"), labels)
+    labelled = stage(labelled.withColumn("odd", F.col("label") != F.col("leader_label")), "members")
     # buckets with an odd member; the others are done
     odds = stage(labelled.where("odd").select("key").distinct(), "odd-buckets")
-    open_ = labelled.join(odds, "key")
-    bonds = stage(open_.select(F.col("leader").alias("a"), F.col("vertex").alias("b")).where("a <> b").distinct(), "bonds")
+    open_ = stage(labelled.join(odds, "key"), "open-buckets")
+    # a class is bound to its first leader, and that one to its other leaders
+    own = open_.groupBy("vertex").agg(F.min("leader").alias("a"), F.collect_set("leader").alias("leaders"))
+    own = stage(own, "own-leaders")
+    others = own.select("a", "leaders").distinct().select("a", F.explode("leaders").alias("b"))
+    bonds = stage(own.select("a", F.col("vertex").alias("b")).union(others).where("a <> b").distinct(), "bonds")
     clusters = components(bonds).toDF("vertex", "cluster")
     each = open_.groupBy("vertex").agg(F.max("label").alias("label"), F.max("odd").alias("odd"))
     each = stage(clusters.join(each, "vertex").join(classes.select("vertex", "signature"), "vertex"), "cluster-members")
@@ -343,12 +350,7 @@ def near_duplicates(
     )
     leaders = stage(leaders.where("of > 1").select("key", "of", "leader.*").toDF("key", "of", "leader", "leader_n"), "leaders")
     members = stage(banded.join(leaders, "key"), "buckets")
-    pairs = members.where((F.col("vertex") != F.col("leader")) & near_in_size(how, F.col("n"), F.col("leader_n")))
-    pairs = pairs.select(F.col("leader").alias("a"), F.col("vertex").alias("b")).distinct()
-    pairs = stage(estimated(pairs, classes, how), "candidates")
-    edges = links(pairs, rows, classes, how)
-
-    labels = components(edges)
+    edges, labels = leader_links(members, rows, classes, how)
     members = members.select("key", "vertex", "leader", "of")
     more = stage(odd_links(members, rows, classes, labels, how), "odd-links")
     if not more.isEmpty():
