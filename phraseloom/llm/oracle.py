@@ -44,7 +44,7 @@ often AS (
   SELECT host, line, min(doc_id) AS first, count(DISTINCT t) AS n FROM lines JOIN docs USING (r) GROUP BY host, line),
 cut AS (
   SELECT r, sum(size) AS n FROM lines JOIN docs d USING (r) JOIN often o USING (host, line) JOIN hosts h USING (host)
-  WHERE o.n > {rules.line_documents} AND o.n > h.n * {rules.line_share}::DOUBLE AND d.doc_id IS DISTINCT FROM o.first GROUP BY r),
+  WHERE o.n > {rules.line_documents} AND (h.n >= {rules.small_host} OR o.n > h.n * {rules.line_share}::DOUBLE) AND d.doc_id IS DISTINCT FROM o.first GROUP BY r),
 base AS (
   SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -2,8 +2,10 @@
 
 Each line is normalised (A-Z to a-z, white space to one blank, digits to 0)
 and hashed; per host, the distinct documents of each line are counted. A line
-above both limits is removed wherever it stands but in the document of the
-smallest id, so that one copy of what is shared remains. A document of which
+in more documents than the limit is removed wherever it stands but in the
+document of the smallest id, so that one copy of what is shared remains. The
+limit is a count and does not grow with the host; hosts with few distinct texts
+are guarded by a share as well. A document of which
 too few words remain is depleted and rejected, as is one that fails the base
 rules.
 
@@ -33,10 +35,12 @@ from phraseloom.staging import stage
 class QualityRules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    # A line is removed if more than this many documents of its host have it,
-    # and more than this share of them.
+    # A line is removed if more than this many documents of its host have it;
+    # where the host has fewer distinct texts than ``small_host``, also more
+    # than this share of them must.
     line_documents: int = 10
     line_share: float = 0.1
+    small_host: int = 100
     # A document is depleted if fewer than this share of its words remain.
     min_remaining: float = 0.3
 
@@ -130,7 +134,8 @@ def frequent_lines(rows: DataFrame, rules: QualityRules = DEFAULTS) -> DataFrame
     )
     hosts = rows.groupBy("host").agg(F.countDistinct("text_hash").alias("of"))
     often = counted.where(F.col("documents") > rules.line_documents).join(hosts, "host")
-    return often.where(F.col("documents") > F.col("of") * rules.line_share).drop("of")
+    large = F.col("of") >= rules.small_host
+    return often.where(large | (F.col("documents") > F.col("of") * rules.line_share)).drop("of")
 
 
 def judged(rows: DataFrame, rules: QualityRules = DEFAULTS) -> DataFrame:

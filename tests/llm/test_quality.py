@@ -82,7 +82,14 @@ def test_empty_table(make):
 
 
 @pytest.mark.parametrize("share", [0.01, 0.5])
-def test_both_limits_must_be_passed(make, share):
+def test_both_limits_must_be_passed_in_small_hosts(make, share):
     rows = [(i, f"top line\n{body(i)}") for i in range(15)] + [(100 + i, body(100 + i)) for i in range(25)]
     got = quality.quality(make(rows), replace(quality.DEFAULTS, line_share=share)).collect()
     assert sum(r.removed_words > 0 for r in got) == (14 if share < 0.3 else 0)
+
+
+@pytest.mark.parametrize("size", [100, 3000])
+def test_a_growing_host_keeps_no_line_that_a_small_one_loses(make, size):
+    rows = [(i, f"top line\n{body(i)}") for i in range(11)] + [(100 + i, body(100 + i)) for i in range(size - 11)]
+    got = quality.quality(make(rows)).collect()
+    assert sum(r.removed_words > 0 for r in got) == 10
