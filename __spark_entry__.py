@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,22 +12,24 @@ from pyspark.sql import functions as F
 import oracle
 from phraseloom.functions import text as tx
 from phraseloom.functions.columns import base64_decode, base64_encode
-from phraseloom.functions.lexicon import LEXICONS
 from phraseloom.operators import corpus, enrich, model, phrases, ranking, records, selection, summary
-from phraseloom.operators.tagging import RuleTagger
+from phraseloom.operators.tagging import LanguageTagger
 from phraseloom.params import DEFAULTS
 from phraseloom.plans import pipelines
 from phraseloom.sources import files, tables
 from phraseloom.staging import scratch_path, stage
 from phraseloom.streaming.scoring import score_stream
 
-try:
+# the training-data operators are an optional part
+if find_spec("corpus_pipeline") and find_spec("phraseloom.llm"):
     import corpus_pipeline
     from phraseloom.llm import oracle as llm_oracle
     from phraseloom.llm import queries as llm_queries
-except ImportError:  # the training-data operators are an optional part
+else:
     corpus_pipeline = llm_oracle = llm_queries = None
 
+# documents of four languages; one that is missing or unknown counts as English
+BY_LANGUAGE = LanguageTagger()
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -35,22 +38,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return selection.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def documents(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table with a file path per row; file names hold words of
     the text, as titles do."""
     words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), 1, 4), " ")
     path = F.concat("source", F.lit("/"), words, F.lit(" "), F.col("doc_id").cast("string"), F.lit(".txt"))
-    docs = table(spark, sf_dir, "documents").withColumn("file", path)
-    return docs if lang is None else docs.where(F.col("lang") == lang)
+    return table(spark, sf_dir, "documents").withColumn("file", path)
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus of the model: one language, as the word lists are English."""
-    return documents(spark, sf_dir, "en").select("doc_id", "file", "text")
+def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus of the model, in all its languages."""
+    return documents(spark, sf_dir).select("doc_id", "lang", "file", "text")
 
 
 def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.corpus_bags(english(spark, sf_dir), title_col="file")
+    return pipelines.corpus_bags(corpus_docs(spark, sf_dir), BY_LANGUAGE, title_col="file")
 
 
 def doc_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,26 +64,26 @@ def staged_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.doc_phrases(stage(bags(spark, sf_dir), "bags"))
 
 
-def english_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.build_model(english(spark, sf_dir), title_col="file")
+def corpus_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.build_model(corpus_docs(spark, sf_dir), BY_LANGUAGE, title_col="file")
 
 
 def published_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "model")
-    tables.write_model(english_model(spark, sf_dir), path)
+    tables.write_model(corpus_model(spark, sf_dir), path)
     return tables.read_model(spark, path)
 
 
-def scored_english(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def scored_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(bags of the texts, model of titles and texts) of the corpus; its
     phrases are extracted once."""
     kept = stage(bags(spark, sf_dir), "bags")
     return phrases.text_bags(kept), stage(model.phrase_model(phrases.doc_phrases(kept)), "model")
 
 
-def ranked_english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, m = scored_english(spark, sf_dir)
-    return pipelines.ranked_documents(english(spark, sf_dir), m, bags=kept)
+def ranked_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, m = scored_corpus(spark, sf_dir)
+    return pipelines.ranked_documents(corpus_docs(spark, sf_dir), m, bags=kept)
 
 
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,15 +143,8 @@ def q_kept_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_phrase_model_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model per language; word lists are data, so a language is a tagger."""
-    models = [
-        pipelines.build_model(documents(spark, sf_dir, lang), RuleTagger(lexicon)).withColumn("lang", F.lit(lang))
-        for lang, lexicon in LEXICONS.items()
-    ]
-    union = models[0]
-    for m in models[1:]:
-        union = union.unionByName(m)
-    return rounded(union.select("lang", "phrase", "bm25"), "bm25")
+    """Texts without titles: all languages by one read of the corpus."""
+    return rounded(pipelines.build_model(corpus_docs(spark, sf_dir), BY_LANGUAGE), "bm25")
 
 
 def q_page_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,12 +153,12 @@ def q_page_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_document_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, m = scored_english(spark, sf_dir)
+    kept, m = scored_corpus(spark, sf_dir)
     return rounded(ranking.document_matches(phrases.doc_phrases(kept), m), "bm25")
 
 
 def q_document_keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, m = scored_english(spark, sf_dir)
+    kept, m = scored_corpus(spark, sf_dir)
     return rounded(pipelines.rank_bags(kept, m), "bm25")
 
 
@@ -175,8 +170,8 @@ def q_benchmark_keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, m = scored_english(spark, sf_dir)
-    done = pipelines.summarize(english(spark, sf_dir), m, bags=kept)
+    kept, m = scored_corpus(spark, sf_dir)
+    done = pipelines.summarize(corpus_docs(spark, sf_dir), m, bags=kept)
     return done.select("doc_id", F.to_json("summary").alias("summary"))
 
 
@@ -200,7 +195,7 @@ def q_encoded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.enrich(english(spark, sf_dir))
+    return pipelines.enrich(corpus_docs(spark, sf_dir), BY_LANGUAGE)
 
 
 def q_enriched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,11 +205,12 @@ def q_enriched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_filetype_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A corpus of text and HTML files, enriched under the English model."""
-    notes = documents(spark, sf_dir).select(F.col("file").alias("doc_id"), "file", "text")
+    """A corpus of text and HTML files, enriched under the documents' model;
+    pages name no language."""
+    notes = documents(spark, sf_dir).select(F.col("file").alias("doc_id"), "lang", "file", "text")
     path = F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html"))
     pages = table(spark, sf_dir, "pages").select(
-        path.alias("doc_id"), path.alias("file"), tx.html_to_text(F.col("html")).alias("text")
+        path.alias("doc_id"), F.lit(None).cast("string").alias("lang"), path.alias("file"), tx.html_to_text(F.col("html")).alias("text")
     )
     rows = pipelines.enrich(notes.unionByName(pages), model=published_model(spark, sf_dir))
     with_terms = F.sum((F.size("terms") > 0).cast("long")).alias("with_terms")
@@ -251,7 +247,7 @@ def q_stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = mixed_bodies(spark, sf_dir)
     bodies.write.parquet(inbox)
     model_path = scratch_path(spark, "model")
-    tables.write_model(english_model(spark, sf_dir), model_path)
+    tables.write_model(corpus_model(spark, sf_dir), model_path)
     arriving = spark.readStream.schema(bodies.schema).parquet(inbox)
     score_stream(arriving, model_path, outbox, state).awaitTermination()
     return spark.read.parquet(f"{outbox}-rejects").drop("batch")
@@ -268,7 +264,7 @@ def q_document_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The requests as a stream of Parquet files, scored batch by batch."""
     model_path, inbox, outbox, state = (scratch_path(spark, n) for n in ("model", "inbox", "outbox", "state"))
-    tables.write_model(english_model(spark, sf_dir), model_path)
+    tables.write_model(corpus_model(spark, sf_dir), model_path)
     bodies = request_bodies(spark, sf_dir).select("request_id", "body")
     bodies.write.parquet(inbox)
     arriving = spark.readStream.schema(bodies.schema).parquet(inbox)
@@ -314,8 +310,10 @@ def queries() -> dict[str, Query]:
         "singular_tokens": lambda s, d: phrases.singular_tokens(
             phrases.content_tokens(phrases.tagged_tokens(documents(s, d)))
         ).drop("tag"),
-        "candidate_phrases": lambda s, d: phrases.candidate_phrases(english(s, d)),
-        "phrase_runs": lambda s, d: phrases.phrase_runs(phrases.tagged_tokens(english(s, d))).drop("run"),
+        "candidate_phrases": lambda s, d: phrases.candidate_phrases(corpus_docs(s, d), BY_LANGUAGE),
+        "phrase_runs": lambda s, d: phrases.phrase_runs(
+            phrases.tagged_tokens(corpus_docs(s, d), BY_LANGUAGE), tagger=BY_LANGUAGE
+        ).drop("run"),
         "doc_phrase_counts": lambda s, d: doc_phrases(s, d).select("doc_id", "phrase", "tf"),
         "top_phrases_per_document": lambda s, d: phrases.ranked_phrases(bags(s, d)),
         # corpus
@@ -327,10 +325,15 @@ def queries() -> dict[str, Query]:
         # scores and model
         "scoring_inputs": q_scoring_inputs,
         "bm25_scores": q_bm25_scores,
-        "doc_keyphrases": lambda s, d: rounded(pipelines.score_corpus(english(s, d), title_col="file"), "bm25"),
-        "phrase_model": lambda s, d: rounded(english_model(s, d), "bm25"),
+        "doc_keyphrases": lambda s, d: rounded(
+            pipelines.score_corpus(corpus_docs(s, d), BY_LANGUAGE, title_col="file"), "bm25"
+        ),
+        "phrase_model": lambda s, d: rounded(corpus_model(s, d), "bm25"),
         "phrase_model_of_three": lambda s, d: rounded(
-            pipelines.build_model(english(s, d), p=replace(DEFAULTS, min_corpus_count=3), title_col="file"), "bm25"
+            pipelines.build_model(
+                corpus_docs(s, d), BY_LANGUAGE, replace(DEFAULTS, min_corpus_count=3), title_col="file"
+            ),
+            "bm25",
         ),
         "published_model": lambda s, d: rounded(published_model(s, d), "bm25"),
         "phrase_model_by_language": q_phrase_model_by_language,
@@ -340,8 +343,8 @@ def queries() -> dict[str, Query]:
         "document_matches": q_document_matches,
         "document_keyphrases": q_document_keyphrases,
         "benchmark_keyphrases": q_benchmark_keyphrases,
-        "sentence_hits": lambda s, d: rounded(summary.sentence_hits(ranked_english(s, d)), "bm25"),
-        "sentence_scores": lambda s, d: rounded(summary.sentence_scores(ranked_english(s, d)), "total"),
+        "sentence_hits": lambda s, d: rounded(summary.sentence_hits(ranked_corpus(s, d)), "bm25"),
+        "sentence_scores": lambda s, d: rounded(summary.sentence_scores(ranked_corpus(s, d)), "total"),
         "document_summaries": q_document_summaries,
         "summary_fallback": q_summary_fallback,
         # enriched documents

@@ -13,11 +13,12 @@ from phraseloom.functions.text import ENTITIES
 BLANK = r"\t\n\x0B\f\r\x{85}\p{Z}"
 TOKEN = rf"[\p{{L}}\p{{N}}]+(?:[-''’][\p{{L}}\p{{N}}]+)*|[^{BLANK}]"
 ENDING = r"(?i)([\p{L}\p{N}])([''’](?:s|re|ve|ll|d|m)|n[''’]t)([^\p{L}\p{N}]|$)"
-ENGLISH_DOCS = "SELECT doc_id, text FROM documents WHERE lang = 'en'"
+LANGUAGE = f"CASE WHEN lang IN ({', '.join(repr(x) for x in lx.LEXICONS)}) THEN lang ELSE 'en' END AS lang"
+CORPUS = f"SELECT doc_id, {LANGUAGE}, text FROM documents"
 # the file name holds words of the text; a title is the name without .txt
 TITLE = "array_to_string(regexp_extract_all(text, '[A-Za-z]{3,}')[1:4], ' ') || ' ' || doc_id"
 FILE = f"source || '/' || {TITLE} || '.txt'"
-TITLED_DOCS = f"SELECT doc_id, {TITLE} || '. ' || text AS text FROM documents WHERE lang = 'en'"
+TITLED_DOCS = f"SELECT doc_id, {LANGUAGE}, {TITLE} || '. ' || text AS text FROM documents"
 
 
 def fold(x: str) -> str:
@@ -63,11 +64,11 @@ def split_endings(x: str) -> str:
     return x
 
 
-def tokens_sql(docs: str) -> str:
-    """doc_id, pos, token"""
+def tokens_sql(docs: str, more: str = "") -> str:
+    """doc_id, ``more``, pos, token"""
     return (
-        "SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token "
-        f"FROM (SELECT doc_id, regexp_extract_all({split_endings('text')}, '{TOKEN}') AS t FROM ({docs}) d) x"
+        f"SELECT doc_id, {more}CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token "
+        f"FROM (SELECT doc_id, {more}regexp_extract_all({split_endings('text')}, '{TOKEN}') AS t FROM ({docs}) d) x"
     )
 
 
@@ -79,50 +80,58 @@ def tagged_sql(docs: str, lexicon: lx.Lexicon = lx.ENGLISH) -> str:
     )
 
 
-def chain(docs: str = ENGLISH_DOCS, prefix: str = "", lexicon: lx.Lexicon = lx.ENGLISH) -> str:
-    """CTEs from documents (doc_id, text) to counts per document."""
+def by_language(make) -> str:
+    """An expression for the language of the row."""
+    cases = "".join(f" WHEN '{lang}' THEN {make(lexicon)}" for lang, lexicon in lx.LEXICONS.items())
+    return f"CASE lang{cases} END"
+
+
+def chain(docs: str = CORPUS, prefix: str = "") -> str:
+    """CTEs from documents (doc_id, lang, text) to counts per document."""
     p = prefix
-    word = singular_sql("f") if lexicon.singularize else "f"
+    word = by_language(lambda lexicon: singular_sql("f") if lexicon.singularize else "f")
     return f"""
 {p}src AS MATERIALIZED ({docs}),
-{p}tagged AS (SELECT *, {fold('token')} AS f FROM ({tagged_sql(f'SELECT doc_id, text FROM {p}src', lexicon)}) q),
+{p}tagged AS (
+  SELECT *, {by_language(lambda lexicon: tag_sql("f", lexicon))} AS tag
+  FROM (SELECT *, {fold('token')} AS f FROM ({tokens_sql(f'SELECT doc_id, lang, text FROM {p}src', 'lang, ')}) k) y),
 {p}marked AS (
-  SELECT doc_id, pos, {word} AS word, NOT {CONTENT} AS closes,
+  SELECT doc_id, lang, pos, {word} AS word, NOT {CONTENT} AS closes,
     sum(CASE WHEN {CONTENT} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run
   FROM {p}tagged),
 {p}ends AS (SELECT doc_id, max(run) AS closed FROM {p}marked GROUP BY doc_id),
 {p}cand AS MATERIALIZED (
-  SELECT doc_id, run, string_agg(word, ' ' ORDER BY pos) AS phrase
-  FROM {p}marked JOIN {p}ends USING (doc_id) WHERE NOT closes AND run < closed GROUP BY doc_id, run),
-{p}dp AS MATERIALIZED (SELECT doc_id, phrase, count(*) AS tf FROM {p}cand GROUP BY doc_id, phrase)"""
+  SELECT doc_id, lang, run, string_agg(word, ' ' ORDER BY pos) AS phrase
+  FROM {p}marked JOIN {p}ends USING (doc_id) WHERE NOT closes AND run < closed GROUP BY doc_id, lang, run),
+{p}dp AS MATERIALIZED (SELECT doc_id, lang, phrase, count(*) AS tf FROM {p}cand GROUP BY doc_id, lang, phrase)"""
 
 
 def corpus(prefix: str = "", least: int = 2) -> str:
     p = prefix
     return f"""
 {p}dl AS MATERIALIZED (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS dl FROM {p}dp GROUP BY doc_id),
-{p}pc AS MATERIALIZED (SELECT phrase, CAST(sum(tf) AS BIGINT) AS cf FROM {p}dp GROUP BY phrase),
-{p}kept AS MATERIALIZED (SELECT dp.* FROM {p}dp dp WHERE phrase NOT IN (SELECT phrase FROM {p}pc WHERE cf < {least})),
+{p}pc AS MATERIALIZED (SELECT lang, phrase, CAST(sum(tf) AS BIGINT) AS cf FROM {p}dp GROUP BY lang, phrase),
+{p}kept AS MATERIALIZED (SELECT dp.* FROM {p}dp dp ANTI JOIN (SELECT * FROM {p}pc WHERE cf < {least}) rare USING (lang, phrase)),
 {p}stats AS MATERIALIZED (
-  SELECT count(*) AS n, CAST(round_even(avg(s), 0) AS DOUBLE) AS avgdl
-  FROM (SELECT doc_id, sum(tf) AS s FROM {p}kept GROUP BY doc_id) x),
+  SELECT lang, count(*) AS n, CAST(round_even(avg(s), 0) AS DOUBLE) AS avgdl
+  FROM (SELECT doc_id, lang, sum(tf) AS s FROM {p}kept GROUP BY doc_id, lang) x GROUP BY lang),
 {p}inputs AS MATERIALIZED (
-  SELECT k.doc_id, k.phrase, k.tf, pc.cf, dl.dl FROM {p}kept k JOIN {p}pc pc USING (phrase) JOIN {p}dl dl USING (doc_id)),
+  SELECT k.doc_id, k.lang, k.phrase, k.tf, pc.cf, dl.dl FROM {p}kept k JOIN {p}pc pc USING (lang, phrase) JOIN {p}dl dl USING (doc_id)),
 {p}scores AS MATERIALIZED (
-  SELECT doc_id, phrase,
+  SELECT doc_id, lang, phrase,
     CASE WHEN n - cf + 0.5::DOUBLE > 0 THEN
       ln((n - cf + 0.5::DOUBLE) / (cf + 0.5::DOUBLE)) * (tf * (1.2::DOUBLE + 1))
       / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + (0.75::DOUBLE * dl / avgdl))) END AS bm25
-  FROM {p}inputs, {p}stats),
+  FROM {p}inputs JOIN {p}stats USING (lang)),
 {p}passed AS MATERIALIZED (SELECT * FROM {p}scores WHERE bm25 >= 5.0),
-{p}model AS MATERIALIZED (SELECT phrase, avg(bm25) AS bm25 FROM {p}passed GROUP BY phrase HAVING avg(bm25) >= 5.0)"""
+{p}model AS MATERIALIZED (SELECT lang, phrase, avg(bm25) AS bm25 FROM {p}passed GROUP BY lang, phrase HAVING avg(bm25) >= 5.0)"""
 
 
 def scored(target: str = "", model: str = "") -> str:
     """Ranked phrases of documents in ``{target}src`` under ``{model}model``."""
     t = target
     return f"""
-{t}matches AS MATERIALIZED (SELECT dp.doc_id, dp.phrase, m.bm25 FROM {t}dp dp JOIN {model}model m USING (phrase)),
+{t}matches AS MATERIALIZED (SELECT dp.doc_id, dp.phrase, m.bm25 FROM {t}dp dp JOIN {model}model m USING (lang, phrase)),
 {t}kp AS MATERIALIZED (
   SELECT doc_id, CAST(rk AS INTEGER) AS rank, phrase, bm25 FROM (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(bm25, 6) DESC, phrase) AS rk FROM {t}matches) r
@@ -189,7 +198,7 @@ def with_(*parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n"
 
 
-CONVERSATIONS = "SELECT conv_id || '-' || turn AS doc_id, text FROM conversations"
+CONVERSATIONS = "SELECT conv_id || '-' || turn AS doc_id, 'en' AS lang, text FROM conversations"
 NO_PHRASE = "'Error processing the Document: no candidate phrase found'"
 
 
@@ -220,18 +229,10 @@ def oracle_sql() -> dict[str, str]:
     # corpora count titles, scoring does not
     titled = with_(chain(TITLED_DOCS))
     full = with_(chain(TITLED_DOCS), corpus())
-    ranked = with_(chain(TITLED_DOCS), corpus(), chain(ENGLISH_DOCS, "u_"), scored("u_"))
-    summed = with_(chain(TITLED_DOCS), corpus(), chain(ENGLISH_DOCS, "u_"), scored("u_"), summarized("u_"))
+    ranked = with_(chain(TITLED_DOCS), corpus(), chain(CORPUS, "u_"), scored("u_"))
+    summed = with_(chain(TITLED_DOCS), corpus(), chain(CORPUS, "u_"), scored("u_"), summarized("u_"))
     all_docs = "SELECT doc_id, text FROM documents"
-    pages = f"SELECT page_id AS doc_id, replace(regexp_extract(url, '([^/]*)$', 1), '.txt', '') || '. ' || {page_text_sql()} AS text FROM pages"
-    by_language = ",".join(
-        part
-        for lang, lexicon in lx.LEXICONS.items()
-        for part in (
-            chain(f"SELECT doc_id, text FROM documents WHERE lang = '{lang}'", f"{lang}_", lexicon),
-            corpus(f"{lang}_"),
-        )
-    )
+    pages = f"SELECT page_id AS doc_id, 'en' AS lang, replace(regexp_extract(url, '([^/]*)$', 1), '.txt', '') || '. ' || {page_text_sql()} AS text FROM pages"
     sql = {
         "page_text": f"SELECT page_id, {page_text_sql()} AS text FROM pages",
         "titled_text": f"SELECT doc_id, {TITLE} || '. ' || text AS titled FROM documents",
@@ -246,23 +247,20 @@ def oracle_sql() -> dict[str, str]:
         "top_phrases_per_document": titled
         + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, phrase) AS INTEGER) AS rank, phrase, tf FROM dp",
         "document_lengths": full + "SELECT doc_id, dl FROM dl",
-        "phrase_counts": full + "SELECT phrase, cf FROM pc",
-        "repeated_phrases": full + "SELECT phrase, cf FROM pc WHERE cf > 1",
+        "phrase_counts": full + "SELECT lang, phrase, cf FROM pc",
+        "repeated_phrases": full + "SELECT lang, phrase, cf FROM pc WHERE cf > 1",
         "kept_phrases": full + "SELECT doc_id, phrase, tf FROM kept",
-        "corpus_stats": full + "SELECT n, avgdl FROM stats",
-        "scoring_inputs": full + "SELECT doc_id, phrase, tf, cf, dl FROM inputs",
+        "corpus_stats": full + "SELECT lang, n, avgdl FROM stats",
+        "scoring_inputs": full + "SELECT doc_id, lang, phrase, tf, cf, dl FROM inputs",
         "bm25_scores": full + "SELECT doc_id, phrase, round(bm25, 6) AS bm25 FROM scores",
         "doc_keyphrases": full + "SELECT doc_id, phrase, round(bm25, 6) AS bm25 FROM passed",
-        "phrase_model": full + "SELECT phrase, round(bm25, 6) AS bm25 FROM model",
-        "phrase_model_by_language": f"WITH {by_language}\n"
-        + " UNION ALL ".join(
-            f"SELECT '{lang}' AS lang, phrase, round(bm25, 6) AS bm25 FROM {lang}_model" for lang in lx.LEXICONS
-        ),
+        "phrase_model": full + "SELECT lang, phrase, round(bm25, 6) AS bm25 FROM model",
+        "phrase_model_by_language": with_(chain(), corpus()) + "SELECT lang, phrase, round(bm25, 6) AS bm25 FROM model",
         "page_model": with_(chain(pages), corpus()) + "SELECT phrase, round(bm25, 6) AS bm25 FROM model",
         "document_matches": ranked + "SELECT doc_id, phrase, round(bm25, 6) AS bm25 FROM u_matches",
         "document_keyphrases": ranked + "SELECT doc_id, rank, phrase, round(bm25, 6) AS bm25 FROM u_kp",
         "benchmark_keyphrases": with_(
-            chain(TITLED_DOCS), corpus(), chain("SELECT item_id AS doc_id, text FROM benchmark", "b_"), scored("b_")
+            chain(TITLED_DOCS), corpus(), chain("SELECT item_id AS doc_id, 'en' AS lang, text FROM benchmark", "b_"), scored("b_")
         )
         + "SELECT doc_id, rank, phrase, round(bm25, 6) AS bm25 FROM b_kp",
         "document_sentences": sentences_sql(all_docs),
@@ -277,13 +275,13 @@ def oracle_sql() -> dict[str, str]:
         "enriched_documents": summed
         + f"SELECT to_base64(encode({FILE})) AS id, {TITLE} || '.txt' AS filename, 'txt' AS filetype, text AS content, "
         "CAST(to_json(summary) AS VARCHAR) AS summary, CAST(to_json(coalesce(terms, [])) AS VARCHAR) AS terms "
-        "FROM (SELECT * FROM documents WHERE lang = 'en') d JOIN u_summaries USING (doc_id) LEFT JOIN u_terms USING (doc_id)",
+        "FROM documents d JOIN u_summaries USING (doc_id) LEFT JOIN u_terms USING (doc_id)",
         "filetype_facets": with_(
             chain(TITLED_DOCS),
             corpus(),
             chain(
-                f"SELECT {FILE} AS doc_id, text FROM documents UNION ALL "
-                f"SELECT 'pages/' || page_id || '.html' AS doc_id, {page_text_sql()} AS text FROM pages",
+                f"SELECT {FILE} AS doc_id, {LANGUAGE}, text FROM documents UNION ALL "
+                f"SELECT 'pages/' || page_id || '.html' AS doc_id, 'en' AS lang, {page_text_sql()} AS text FROM pages",
                 "f_",
             ),
             scored("f_"),
@@ -310,7 +308,7 @@ def oracle_sql() -> dict[str, str]:
         "document_rejects": "SELECT doc_id, CASE WHEN source = 'src1' THEN 'text is blank' ELSE 'text is missing' END AS reason "
         "FROM documents WHERE source IN ('src1', 'src2')",
         "phrase_model_of_three": with_(chain(TITLED_DOCS), corpus(least=3))
-        + "SELECT phrase, round(bm25, 6) AS bm25 FROM model",
+        + "SELECT lang, phrase, round(bm25, 6) AS bm25 FROM model",
     }
     sql["phrase_runs"] = base + "SELECT doc_id, phrase FROM cand"
     sql["phrase_file_roundtrip"] = sql["doc_phrase_counts"]

@@ -23,7 +23,7 @@ from phraseloom import session
 from phraseloom.functions.lexicon import LEXICONS
 from phraseloom.operators import records
 from phraseloom.operators.selection import split_rejects
-from phraseloom.operators.tagging import RuleTagger
+from phraseloom.operators.tagging import LanguageTagger, RuleTagger
 from phraseloom.params import DEFAULTS, Params
 from phraseloom.plans import pipelines
 from phraseloom.sources import files, requests, tables
@@ -52,22 +52,26 @@ def load(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return documents
 
 
+def by_language(docs: DataFrame) -> LanguageTagger | None:
+    """Documents that name their language are read by it."""
+    return LanguageTagger() if "lang" in docs.columns else None
+
+
 def params(args: argparse.Namespace) -> Params:
     given = {k: getattr(args, k) for k in ("min_bm25", "max_documents", "fallback") if getattr(args, k, None) is not None}
     return replace(DEFAULTS, **given)
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
-    p, tagger = params(args), RuleTagger(LEXICONS[args.lang])
+    p, tagger = params(args), RuleTagger(LEXICONS[args.lang]) if args.lang else None
     source = getattr(args, "input", None) or args.requests
     if getattr(args, "format", "") != "table":
         session.apply(spark, session.input_bytes(spark, source))
     if args.job == "build":
-        with Workspace(spark) as workspace:
-            docs = load(spark, args)
-            sample = args.max_documents is not None
-            model = pipelines.build_model(docs, tagger, p, title_col="file", sample=sample, workspace=workspace)
-            tables.write_model(model, args.model)
+        docs = load(spark, args)
+        sample = args.max_documents is not None
+        model = pipelines.build_model(docs, tagger or by_language(docs), p, title_col="file", sample=sample)
+        tables.write_model(model, args.model)
     elif args.job == "stream":
         score_stream(
             requests.stream_requests(spark, args.requests), args.model, args.output, args.state, tagger, p, args.rejects
@@ -82,6 +86,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
                 refused.write.mode("overwrite").parquet(args.rejects or args.output.rstrip("/") + "-rejects")
             else:
                 docs = load(spark, args)
+                tagger = tagger or (by_language(docs) if model is None else None)
                 created = F.col("modified") if "modified" in docs.columns else None
                 rows = pipelines.enrich(docs, tagger, p, created=created, model=model, workspace=workspace)
                 tables.write_enriched(rows, args.output)
@@ -109,7 +114,7 @@ def parser() -> argparse.ArgumentParser:
         job.add_argument("--fallback", choices=("repeat", "lead"))
     for job in (build, analyze, stream, enrich):
         job.add_argument("--rejects", help="where to write what could not be used; by default OUTPUT-rejects or MODEL-rejects")
-        job.add_argument("--lang", choices=sorted(LEXICONS), default="en")
+        job.add_argument("--lang", choices=sorted(LEXICONS), help="of all documents; by default what their column lang says, else English")
     return top
 
 

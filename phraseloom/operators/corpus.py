@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.internal import InternalFunction
 
-from phraseloom.operators.joins import join_on_phrase
+from phraseloom.operators.joins import join_on_phrase, phrase_keys
 from phraseloom.params import DEFAULTS, Params
 from phraseloom.staging import Workspace, stage
 
@@ -19,8 +20,9 @@ def document_lengths(bags: DataFrame) -> DataFrame:
 
 
 def phrase_counts(phrases: DataFrame) -> DataFrame:
-    """(phrase, cf): occurrences in the whole corpus."""
-    return phrases.groupBy("phrase").agg(F.sum("tf").alias("cf"))
+    """([lang,] phrase, cf): occurrences in the whole corpus, or in all
+    documents of the language."""
+    return phrases.groupBy(*phrase_keys(phrases)).agg(F.sum("tf").alias("cf"))
 
 
 def repeated_phrases(counts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -38,11 +40,11 @@ def join_frequencies(
     counts. The counts are written first, so that the join has no aggregate
     between its sorts and its exchanges and a hot phrase can be split."""
     kept = keep(stage(counts, "counts", workspace))
-    return join_on_phrase(phrases, kept.select("phrase", "cf"), p)
+    return join_on_phrase(phrases, kept.select(*phrase_keys(kept), "cf"), p)
 
 
 def drop_rare(phrases: DataFrame, counts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Document phrases without those the corpus holds only once."""
+    """Document phrases without those the corpus holds too few times."""
     return join_frequencies(phrases, counts, lambda c: repeated_phrases(c, p), p).drop("cf")
 
 
@@ -55,59 +57,81 @@ def holder_marks(phrases: DataFrame) -> dict[str, Column]:
     return {"holder": F.xxhash64("doc_id"), "holder2": F.xxhash64(F.lit(1), "doc_id")}
 
 
-def phrase_profile(phrases: DataFrame) -> DataFrame:
-    """(phrase, tf, dl, docs, holder.., cf), partitioned by phrase.
+def holder_aggregates(marks: dict[str, Column], most: int) -> tuple[dict[str, Column], Column]:
+    """(aggregates, an array of theirs) that name the documents of a cell, if
+    there are at most ``most``. Of one document the least mark names it, of two
+    the least and the greatest, and more are kept in a bounded heap; whatever
+    the cell holds, its state has a fixed size."""
+    if most <= 1:
+        names = {name: F.min(mark) for name, mark in marks.items()}
+        return names, F.array(F.struct(*names))
+    if most == 2 and len(marks) == 1:
+        (name, mark), last = next(iter(marks.items())), "last_holder"
+        first = F.struct(name)
+        both = F.array(first, F.struct(F.col(last).alias(name)))
+        return {name: F.min(mark), last: F.max(mark)}, F.when(F.col("docs") == 1, F.array(first)).otherwise(both)
+    kept = InternalFunction.collect_top_k(F.struct(*(m.alias(n) for n, m in marks.items())), most, False)
+    return {"holders": kept}, F.col("holders")
+
+
+def phrase_profile(phrases: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """([lang,] phrase, tf, dl, docs, holders, cf), partitioned by phrase.
 
     A score depends on a document only through (tf, dl). Counting the documents
     per (phrase, tf, dl) before anything is grouped by phrase alone turns a
     phrase that a third of the corpus holds, or a text copied many times, into
-    as many rows as it has distinct pairs, so no phrase is a hot key. ``holder``
-    marks one document of the group; for a phrase that occurs once it is *the*
-    document.
+    as many rows as it has distinct pairs, so no phrase is a hot key.
+    ``holders`` marks documents of the cell: all of them where the corpus holds
+    the phrase less than ``min_corpus_count`` times, as it then has fewer
+    documents than that.
     """
-    marks = holder_marks(phrases)
-    cells = phrases.groupBy("phrase", "tf", "dl").agg(
-        F.count(F.lit(1)).alias("docs"), *[F.min(mark).alias(name) for name, mark in marks.items()]
+    keys = phrase_keys(phrases)
+    found, holders = holder_aggregates(holder_marks(phrases), p.min_corpus_count - 1)
+    cells = phrases.groupBy(*keys, "tf", "dl").agg(
+        F.count(F.lit(1)).alias("docs"), *[a.alias(name) for name, a in found.items()]
     )
-    whole_phrase = Window.partitionBy("phrase")
-    profile = cells.repartition("phrase").withColumn("cf", F.sum(F.col("tf") * F.col("docs")).over(whole_phrase))
+    whole_phrase = Window.partitionBy(*keys)
+    profile = cells.repartition(*keys).withColumn("cf", F.sum(F.col("tf") * F.col("docs")).over(whole_phrase))
     # Reading the marks everywhere gives every reader of the profile the same
     # columns, which lets Spark reuse the exchange: the corpus is read and
     # counted once per query.
-    for name in marks:
-        profile = profile.where(F.col(name).isNotNull())
-    return profile
+    for name in found:
+        profile = profile.where(F.size(name) > 0 if name == "holders" else F.col(name).isNotNull())
+    return profile.select(*keys, "tf", "dl", "docs", holders.alias("holders"), "cf")
 
 
-def stats_of_profile(profile: DataFrame) -> DataFrame:
-    """(n, avgdl) without going back to the documents.
+def stats_of_profile(profile: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """([lang,] n, avgdl) without going back to the documents.
 
     Documents of length L hold L occurrences each, so the occurrences found in
-    rows of that length, divided by L, count them. A phrase that occurs once
-    costs its holder one occurrence; holders left with none drop out of n.
+    rows of that length, divided by L, count them. A phrase below the minimum
+    count costs its holders their occurrences of it; holders left with none
+    drop out of n.
     """
-    once = F.col("cf") == 1
-    losers = [F.when(once, F.col(c)).alias(f"loser_{c}") for c in profile.columns if c.startswith("holder")]
-    by_holder = profile.groupBy(*losers, "dl").agg(F.sum(F.col("tf") * F.col("docs")).alias("occurrences"))
-    lost = F.col("loser_holder").isNotNull()
-    by_length = by_holder.groupBy("dl").agg(
+    lang = [k for k in phrase_keys(profile) if k != "phrase"]
+    lost = F.col("cf") < p.min_corpus_count
+    nobody = F.array(F.lit(None).cast(profile.schema["holders"].dataType.elementType))
+    rows = profile.select(
+        *lang,
+        "dl",
+        F.when(lost, F.col("tf")).otherwise(F.col("tf") * F.col("docs")).alias("occurrences"),
+        F.explode(F.when(lost, F.col("holders")).otherwise(nobody)).alias("loser"),
+    )
+    marks = profile.schema["holders"].dataType.elementType.names
+    by_holder = rows.groupBy(*lang, "dl", *(F.col("loser")[m].alias(m) for m in marks))
+    by_holder = by_holder.agg(F.sum("occurrences").alias("occurrences"))
+    lost = F.col(marks[0]).isNotNull()
+    by_length = by_holder.groupBy(*lang, "dl").agg(
         F.expr("sum(occurrences) div dl").alias("docs"),
         F.sum(F.when(~lost, F.col("occurrences")).otherwise(0)).alias("kept"),
         F.sum(F.when(lost & (F.col("occurrences") == F.col("dl")), 1).otherwise(0)).alias("emptied"),
     )
     n = F.coalesce(F.sum(F.col("docs") - F.col("emptied")), F.lit(0))
-    return by_length.agg(n.alias("n"), F.bround(F.try_divide(F.sum("kept"), n), 0).alias("avgdl"))
-
-
-def stats_by_join(phrases: DataFrame, counts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """(n, avgdl) for any minimum count: remove, sum per document, average."""
-    sums = drop_rare(phrases, counts, p).groupBy("doc_id").agg(F.sum("tf").alias("kept"))
-    return sums.agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg("kept"), 0).alias("avgdl"))
+    return by_length.groupBy(*lang).agg(n.alias("n"), F.bround(F.try_divide(F.sum("kept"), n), 0).alias("avgdl"))
 
 
 def corpus_stats(phrases: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """One row: documents that still hold a phrase after phrases below the
-    minimum count are dropped, and their mean length, rounded half to even."""
-    if p.min_corpus_count == 2:
-        return stats_of_profile(phrase_profile(phrases))
-    return stats_by_join(phrases, phrase_counts(phrases), p)
+    """One row, or one per language: documents that still hold a phrase after
+    phrases below the minimum count are dropped, and their mean length, rounded
+    half to even."""
+    return stats_of_profile(phrase_profile(phrases, p), p)

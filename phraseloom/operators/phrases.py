@@ -13,18 +13,21 @@ from pyspark.sql import functions as F
 from phraseloom.functions import words
 from phraseloom.functions.columns import BAR, fold, let
 from phraseloom.functions.text import titled_text
-from phraseloom.operators.tagging import RuleTagger, Tagger
+from phraseloom.operators.tagging import LanguageTagger, RuleTagger, Tagger
 from phraseloom.params import DEFAULTS, Params
 
 
-def document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(id_col, F.posexplode(words.tokenize(F.col(text_col))).alias("pos", "token"))
+def document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    return docs.select(id_col, *more, F.posexplode(words.tokenize(F.col(text_col))).alias("pos", "token"))
 
 
 def tagged_tokens(
     docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     tagger = tagger or RuleTagger()
+    if isinstance(tagger, LanguageTagger):
+        rows = document_tokens(docs, id_col, text_col, *tagger.columns)
+        return rows.withColumn("tag", tagger.tag(F.col("token")))
     if isinstance(tagger, RuleTagger):  # token by token, in generated code
         return document_tokens(docs, id_col, text_col).withColumn("tag", tagger.tag(F.col("token")))
     pairs = docs.select(id_col, words.tokenize(F.col(text_col)).alias("tokens")).select(
@@ -70,7 +73,9 @@ def candidate_phrases(
     ).where(F.col("phrase").isNotNull())
 
 
-def phrase_runs(tagged: DataFrame, p: Params = DEFAULTS, id_col: str = "doc_id") -> DataFrame:
+def phrase_runs(
+    tagged: DataFrame, p: Params = DEFAULTS, id_col: str = "doc_id", tagger: RuleTagger | LanguageTagger | None = None
+) -> DataFrame:
     """Candidate phrases from token rows: gaps and islands. For tokens that
     arrive as a table; gives what ``candidates`` gives."""
     in_text = Window.partitionBy(id_col).orderBy("pos")
@@ -82,7 +87,7 @@ def phrase_runs(tagged: DataFrame, p: Params = DEFAULTS, id_col: str = "doc_id")
     content = numbered.withColumn("closed", closed).where(~F.col("closes"))
     if not p.flush_trailing:
         content = content.where(F.col("run") < F.col("closed"))
-    word = words.singular(fold(F.col("token")))
+    word = (tagger or RuleTagger()).word(F.col("token"))
     return (
         content.groupBy(id_col, "run")
         .agg(F.array_sort(F.collect_list(F.struct("pos", word.alias("word")))).alias("ws"))
@@ -130,7 +135,10 @@ def phrase_bags(
     corpus; ``text_dl`` and ``text_phrases`` are those of the text alone, for
     scoring. The title ends in a full stop, which closes its last phrase, so
     its candidates come before those of the text and each is read once.
+
+    A ``LanguageTagger`` adds the document's ``lang``.
     """
+    lang = [tagger.language().alias("lang")] if isinstance(tagger, LanguageTagger) else []
 
     def counted(c: Column, prefix: str = "") -> list[Column]:
         return [F.size(c).cast("long").alias(f"{prefix}dl"), count_phrases(c).alias(f"{prefix}phrases")]
@@ -142,21 +150,26 @@ def phrase_bags(
         bag = let(both, lambda c: F.struct(*counted(F.concat(c["title"], c["text"])), *counted(c["text"], "text_")))
     else:
         bag = let(found, lambda c: F.struct(*counted(c)))
-    return docs.select(F.col(id_col).alias("doc_id"), bag.alias("bag")).select("doc_id", "bag.*")
+    found = docs.select(F.col(id_col).alias("doc_id"), *lang, bag.alias("bag"))
+    return found.select("doc_id", *(["lang"] if lang else []), "bag.*")
+
+
+def language_columns(df: DataFrame) -> list[str]:
+    return [c for c in ("lang",) if c in df.columns]
 
 
 def text_bags(bags: DataFrame) -> DataFrame:
     """The bags to score with: of texts without their titles."""
     if "text_phrases" not in bags.columns:
         return bags
-    return bags.select("doc_id", F.col("text_dl").alias("dl"), F.col("text_phrases").alias("phrases"))
+    return bags.select("doc_id", *language_columns(bags), F.col("text_dl").alias("dl"), F.col("text_phrases").alias("phrases"))
 
 
 def doc_phrases(bags: DataFrame) -> DataFrame:
-    """(doc_id, dl, phrase, tf): one row per phrase of a document. The outer
+    """(doc_id, [lang,] dl, phrase, tf): one row per phrase of a document. The outer
     form keeps the optimizer from adding a filter that would compute the bag
     twice."""
-    return bags.select("doc_id", "dl", F.inline_outer("phrases")).where(F.col("phrase").isNotNull())
+    return bags.select("doc_id", *language_columns(bags), "dl", F.inline_outer("phrases")).where(F.col("phrase").isNotNull())
 
 
 def ranked_phrases(bags: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from phraseloom.functions import words
 from phraseloom.functions.columns import BAR, fold, let
-from phraseloom.functions.lexicon import ENGLISH, Lexicon
+from phraseloom.functions.lexicon import ENGLISH, LEXICONS, Lexicon
 from phraseloom.params import Params
 
 
@@ -45,6 +45,10 @@ class RuleTagger:
     def tags(self, tokens: Column) -> Column:
         return F.transform(tokens, self.tag)
 
+    def word(self, token: Column) -> Column:
+        """What a phrase holds for a content token."""
+        return words.singular(fold(token)) if self.singularize else fold(token)
+
     def marked_words(self, text: Column, p: Params) -> Column:
         # The rules ignore case, so the text is folded once, not each token.
         def mark(token: Column) -> Column:
@@ -54,6 +58,56 @@ class RuleTagger:
         return F.transform(words.tokenize(fold(text)), mark)
 
 
+class LanguageTagger:
+    """A rule tagger per language, chosen by a column of the documents.
+
+    Phrases made with it carry their language, and counts, corpus scalars,
+    models and matches are kept per language: a word is another word in another
+    language. Documents of no language, or of one without a lexicon, count as
+    ``default``, so there are never more languages than lexicons. ``column`` is
+    None for documents that are all of the default.
+    """
+
+    def __init__(
+        self, column: str | None = "lang", lexicons: dict[str, Lexicon] = LEXICONS, default: str = ENGLISH.lang
+    ):
+        self.column = column
+        self.default = default
+        self.taggers = {lang: RuleTagger(lexicon) for lang, lexicon in lexicons.items()}
+
+    @property
+    def columns(self) -> list[str]:
+        return [] if self.column is None else [self.column]
+
+    def language(self) -> Column:
+        if self.column is None:
+            return F.lit(self.default)
+        return F.when(F.col(self.column).isin(*self.taggers), F.col(self.column)).otherwise(self.default)
+
+    def _chosen(self, make: Callable[[RuleTagger], Column]) -> Column:
+        """What the tagger of the row's language makes; no other is evaluated."""
+        rest = make(self.taggers[self.default])
+        if self.column is None:
+            return rest
+        case = F
+        for lang, tagger in self.taggers.items():
+            if lang != self.default:
+                case = case.when(F.col(self.column) == lang, make(tagger))
+        return rest if case is F else case.otherwise(rest)
+
+    def tag(self, token: Column) -> Column:
+        return self._chosen(lambda t: t.tag(token))
+
+    def tags(self, tokens: Column) -> Column:
+        return self._chosen(lambda t: t.tags(tokens))
+
+    def word(self, token: Column) -> Column:
+        return self._chosen(lambda t: t.word(token))
+
+    def marked_words(self, text: Column, p: Params) -> Column:
+        return self._chosen(lambda t: t.marked_words(text, p))
+
+
 class PandasTagger:
     """``function`` maps the tokens of one document to as many tags."""
 

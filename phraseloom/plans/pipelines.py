@@ -26,7 +26,7 @@ from phraseloom.operators.records import (
 )
 from phraseloom.operators.selection import sampled_documents, split_rejects
 from phraseloom.operators.summary import document_summaries, summary, vocabulary, with_vocabulary
-from phraseloom.operators.tagging import Tagger
+from phraseloom.operators.tagging import LanguageTagger, Tagger
 from phraseloom.params import DEFAULTS, Params
 from phraseloom.staging import Workspace, stage
 
@@ -44,16 +44,20 @@ def build_model(
     p: Params = DEFAULTS,
     title_col: str | None = None,
     sample: bool = False,
-    workspace: Workspace | None = None,
 ) -> DataFrame:
-    """(phrase, bm25). ``sample`` restricts the corpus to ``max_documents``.
-    For a minimum count other than 2 the corpus scalars need a pass of their
-    own over the phrases, which are written first."""
+    """([lang,] phrase, bm25). ``sample`` restricts the corpus to
+    ``max_documents``. With a ``LanguageTagger`` the model is one of all
+    languages, each scored by its own documents. The corpus is read once."""
     corpus = sampled_documents(docs, p) if sample else docs
-    bags = corpus_bags(corpus, tagger, p, title_col)
-    if p.min_corpus_count != 2:
-        bags = stage(bags.select("doc_id", "dl", "phrases"), "bags", workspace)
-    return phrase_model(doc_phrases(bags), p)
+    return phrase_model(doc_phrases(corpus_bags(corpus, tagger, p, title_col)), p)
+
+
+def tagger_for(docs: DataFrame, model: DataFrame, tagger: Tagger | None) -> Tagger | None:
+    """A model of languages needs phrases of languages: those of the column
+    ``lang``, or without one all of the default language."""
+    if tagger is None and "lang" in model.columns:
+        return LanguageTagger("lang" if "lang" in docs.columns else None)
+    return tagger
 
 
 def score_corpus(
@@ -78,7 +82,7 @@ def extract_keyphrases(
     docs: DataFrame, model: DataFrame, tagger: Tagger | None = None, p: Params = DEFAULTS
 ) -> DataFrame:
     """(doc_id, rank, phrase, bm25): up to ``max_keyphrases`` per document."""
-    return rank_bags(corpus_bags(docs, tagger, p), model, p)
+    return rank_bags(corpus_bags(docs, tagger_for(docs, model, tagger), p), model, p)
 
 
 def ranked_documents(
@@ -89,7 +93,7 @@ def ranked_documents(
     bags: DataFrame | None = None,
 ) -> DataFrame:
     """Documents with ``keyphrases`` and ``vocab``, all documents kept."""
-    bags = corpus_bags(docs, tagger, p) if bags is None else bags
+    bags = corpus_bags(docs, tagger_for(docs, model, tagger), p) if bags is None else bags
     return with_vocabulary(docs, keyphrase_lists(rank_bags(bags, model, p)), p)
 
 
@@ -116,7 +120,7 @@ def analyze_records(
     records = request_records(bodies).withColumn("doc_id", record_key())
     asked = records.where(F.col("problem").isNull()).select("doc_id", F.col("content").alias("text"))
     # Kept as one table: its lengths tell which records hold no phrase at all.
-    bags = stage(phrase_bags(asked, tagger, p), "bags", workspace)
+    bags = stage(phrase_bags(asked, tagger_for(asked, model, tagger), p), "bags", workspace)
     lists = keyphrase_lists(rank_bags(bags, model, p))
     found = bags.select("doc_id", "dl").join(lists, "doc_id", "left")
     problem = F.coalesce(F.col("problem"), F.when(F.col("dl") == 0, NO_PHRASE))
@@ -151,6 +155,7 @@ def enrich(
     model of the corpus itself, which counts file names as titles. Phrases are
     extracted once for both uses. Rows without a text are ``split_rejects``."""
     docs, _ = split_rejects(docs)
+    tagger = tagger if model is None else tagger_for(docs, model, tagger)
     bags = stage(corpus_bags(docs, tagger, p, None if model is not None else path_col), "bags", workspace)
     if model is None:
         model = stage(phrase_model(doc_phrases(bags), p), "model", workspace)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseloom.schemas import MODEL
+from phraseloom.operators.joins import phrase_keys
 
 
 def write_delimited(phrases: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -33,11 +33,14 @@ def write_model(model: DataFrame, path: str) -> None:
     """Full rebuild. The model leaves its last aggregate hashed by phrase, so
     sorting inside the partitions is all that is left to do; sorted files let a
     reader skip row groups when it looks for few phrases."""
-    model.select("phrase", "bm25").sortWithinPartitions("phrase").write.mode("overwrite").parquet(path)
+    keys = phrase_keys(model)
+    model.select(*keys, "bm25").sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
 def read_model(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MODEL).parquet(path)
+    """(phrase, bm25), with ``lang`` where the model is kept per language."""
+    model = spark.read.parquet(path)
+    return model.select(*phrase_keys(model), "bm25")
 
 
 def write_enriched(enriched: DataFrame, path: str) -> None:

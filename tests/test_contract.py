@@ -32,4 +32,4 @@ def test_query_matches_sql(spark, sf_dir, con, name):
 def test_entry(spark):
     rows = contract.entry(spark)
     assert rows.columns == ["id", "filename", "filetype", "content", "summary", "terms", "creation_ts"]
-    assert rows.count() == 127
+    assert rows.count() == 200

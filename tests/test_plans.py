@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from phraseloom import PandasTagger, build_model
+from phraseloom import LanguageTagger, PandasTagger, build_model
 from phraseloom.operators import corpus, joins, model, phrases, ranking
 from phraseloom.params import DEFAULTS
 from phraseloom.plans import pipelines
@@ -167,10 +167,18 @@ def test_ways_to_match_agree(spark, shuffled_joins, tmp_path):
         assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
 
 
-def test_any_minimum_count_tokenizes_once(scan):
-    plan = final_plan(build_model(scan.where("lang = 'en'"), p=replace(DEFAULTS, min_corpus_count=3)))
-    # the written bags are read; the texts were read and tokenized to write them
-    assert plan.count("regexp_extract_all") == 0 and "text:string" not in plan
+@pytest.mark.parametrize("least", [1, 3, 6])
+def test_any_minimum_count_reads_and_tokenizes_the_corpus_once(scan, least):
+    plan = final_plan(build_model(scan.where("lang = 'en'"), p=replace(DEFAULTS, min_corpus_count=least)))
+    assert plan.count("Scan parquet") == 1 and plan.count("regexp_extract_all") == 1
+    assert "ReusedExchange" in plan
+
+
+def test_all_languages_are_one_read(scan):
+    plan = final_plan(build_model(scan, LanguageTagger()))
+    assert plan.count("Scan parquet") == 1 and "ReusedExchange" in plan
+    # one row per language is broadcast, and nothing is crossed
+    assert plan.count("BroadcastExchange") == 1 and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_ranking_and_collecting_share_one_shuffle(scan):
