@@ -177,6 +177,25 @@ def fallback_sql(text: str) -> str:
     return f"list_transform(range(least(3, len({first}))), lambda i: {first}[1])"
 
 
+def decoded_sql(x: str) -> str:
+    """Character references, piece by piece behind each ampersand."""
+    names = ", ".join("'" + n + "': '" + c.replace("'", "''") + "'" for n, c in ENTITIES.items())
+    code = (
+        "CASE WHEN regexp_matches(p, '^#[0-9]{1,7};') THEN CAST(regexp_extract(p, '^#([0-9]+);', 1) AS INTEGER) "
+        "WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]{1,6};') "
+        "THEN CAST('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+);', 1) AS INTEGER) END"
+    )
+    valid = f"({code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111)"
+    name = "regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)"
+    rest = "substr(p, strpos(p, ';') + 1)"
+    piece = (
+        f"CASE WHEN {valid} THEN chr({code}) || {rest} "
+        f"WHEN map_contains(MAP {{{names}}}, {name}) THEN MAP {{{names}}}[{name}] || {rest} ELSE '&' || p END"
+    )
+    parts = f"string_split({x}, '&')"
+    return f"({parts}[1] || array_to_string(list_transform({parts}[2:], lambda p: {piece}), ''))"
+
+
 def page_text_sql(html: str = "html") -> str:
     x = html
     for pattern, replacement in (
@@ -186,9 +205,7 @@ def page_text_sql(html: str = "html") -> str:
         (r"<[^<>]*>", "''"),
     ):
         x = f"regexp_replace({x}, '{pattern}', {replacement}, 'g')"
-    for reference, character in ENTITIES:
-        character = character.replace("'", "''")
-        x = f"replace({x}, '{reference}', '{character}')"
+    x = decoded_sql(x)
     x = rf"regexp_replace({x}, '[ \t\r\f]+', ' ', 'g')"
     x = rf"regexp_replace({x}, ' ?\n[ \n]*', chr(10), 'g')"
     return f"trim({x}, ' ' || chr(10))"
@@ -290,6 +307,14 @@ def oracle_sql() -> dict[str, str]:
         "CAST(sum(CASE WHEN doc_id IN (SELECT doc_id FROM f_kp) THEN 1 ELSE 0 END) AS BIGINT) AS with_terms "
         "FROM f_src GROUP BY 1",
         "term_facets": ranked + "SELECT phrase AS term, count(*) AS docs FROM u_kp GROUP BY phrase",
+        "facets": ranked
+        + """, valued AS (
+          SELECT 'terms' AS field, phrase AS value FROM u_kp UNION ALL SELECT 'filetype', 'txt' FROM documents UNION ALL
+          SELECT 'creation_ts', strftime(date_trunc('month', make_timestamp((1600000000 + doc_id * 86400) * 1000000)), '%Y-%m-%d')
+          FROM documents),
+        counted AS (SELECT field, value, count(*) AS docs FROM valued GROUP BY field, value)
+        SELECT field, value, docs, CAST(row_number() OVER (PARTITION BY field ORDER BY docs DESC, value) AS INTEGER) AS rank
+        FROM counted QUALIFY rank <= 12""",
         "request_records": "SELECT conv_id || '-' || turn AS request_id, CAST(pos AS INTEGER) AS pos, "
         "conv_id || '-' || turn || kind AS recordId, CASE WHEN pos = 0 THEN text END AS content, problem FROM conversations, "
         "(VALUES (0, '', NULL), (1, '-n', 'content is not a string'), (2, '-m', 'content is missing'), "

@@ -31,11 +31,11 @@ from phraseloom.staging import Workspace
 from phraseloom.streaming.scoring import score_stream
 
 
-def load(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+def load(spark: SparkSession, args: argparse.Namespace, workspace: Workspace) -> DataFrame:
     """Documents with doc_id, file, text and, where known, modified. Rejects
     are always written."""
     if args.format == "files":
-        documents, unread = files.fetch_documents(spark, args.input, args.folder)
+        documents, unread = files.fetch_documents(spark, args.input, args.folder, workspace=workspace)
     elif args.format == "text":
         documents, unread = files.read_text_folder(spark, args.input), None
     else:
@@ -68,10 +68,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if getattr(args, "format", "") != "table":
         session.apply(spark, session.input_bytes(spark, source))
     if args.job == "build":
-        docs = load(spark, args)
-        sample = args.max_documents is not None
-        model = pipelines.build_model(docs, tagger or by_language(docs), p, title_col="file", sample=sample)
-        tables.write_model(model, args.model)
+        with Workspace(spark) as workspace:
+            docs = load(spark, args, workspace)
+            sample = args.max_documents is not None
+            model = pipelines.build_model(docs, tagger or by_language(docs), p, title_col="file", sample=sample)
+            tables.write_model(model, args.model)
     elif args.job == "stream":
         score_stream(
             requests.stream_requests(spark, args.requests), args.model, args.output, args.state, tagger, p, args.rejects
@@ -85,7 +86,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
                 refused = records.request_rejects(bodies)
                 refused.write.mode("overwrite").parquet(args.rejects or args.output.rstrip("/") + "-rejects")
             else:
-                docs = load(spark, args)
+                docs = load(spark, args, workspace)
                 tagger = tagger or (by_language(docs) if model is None else None)
                 created = F.col("modified") if "modified" in docs.columns else None
                 rows = pipelines.enrich(docs, tagger, p, created=created, model=model, workspace=workspace)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phraseloom.functions.columns import let
 from phraseloom.functions.patterns import BLANK
 from phraseloom.params import DEFAULTS, Params
 
@@ -37,9 +38,15 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def split_rejects(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents with text, rows without any and the reason)."""
-    reason = F.when(F.col(text_col).isNull(), "text is missing").when(
-        ~F.col(text_col).rlike(f"[^{BLANK}]"), "text is blank"
-    )
-    judged = docs.withColumn("reason", reason)
+    """(documents with text, rows without any and the reason). A text that is
+    an expression is evaluated once: its value and the verdict leave one
+    generator, below which no filter can be pushed."""
+
+    def verdict(text: Column) -> Column:
+        reason = F.when(text.isNull(), "text is missing").when(~text.rlike(f"[^{BLANK}]"), "text is blank")
+        return F.struct(text.alias(text_col), reason.alias("reason"))
+
+    others = [c for c in docs.columns if c not in (text_col, "reason")]
+    judged = docs.select(*others, F.inline(F.array(let(F.col(text_col), verdict))))
+    judged = judged.select(*(c for c in docs.columns if c != "reason"), "reason")
     return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())

@@ -157,3 +157,88 @@ def test_enriched_corpus_of_files(spark, tree, tmp_path):
 def test_phrases_of_documents_with_any_id_type(spark):
     docs = spark.createDataFrame([("x/1", "Rare disease.")], "doc_id string, text string")
     assert [tuple(r) for r in doc_phrases(phrase_bags(docs)).collect()] == [("x/1", 1, "rare disease", 1)]
+
+
+def test_listed_files_are_answers_or_rejects_whatever_happens(spark, tree, monkeypatch):
+    """A file that is gone when it is read, one that cannot be opened and one
+    that is too large are rejects; nothing fails."""
+    from pathlib import Path
+
+    def stage_and_lose(df, name, workspace=None):
+        found = files_stage(df, name, workspace)
+        if name == "listing":
+            Path(tree, "a.txt").unlink()  # vanishes
+            Path(tree, "sub/deep/c.html").unlink()
+            Path(tree, "sub/deep/c.html").mkdir()  # no longer a file
+            Path(tree, "new.txt").write_text("Late file.")
+        return found
+
+    files_stage = files.stage
+    monkeypatch.setattr(files, "stage", stage_and_lose)
+    listed = {r.file for r in files.list_files(spark, tree).collect()}
+    Path(tree, "sub/large.txt").write_text("Large file. " * 20)
+    listed |= {next(iter(listed)).rsplit("/store/", 1)[0] + "/store/sub/large.txt"}
+    documents, rejects = files.fetch_documents(spark, tree, max_bytes=100)
+    good = [r.file for r in documents.collect()]
+    bad = {r.file: r.reason for r in rejects.collect()}
+    assert len(good) + rejects.count() == len(listed) and set(good) | set(bad) == listed
+    assert {k.rsplit("/", 1)[1]: v for k, v in bad.items()} == {
+        "a.txt": "could not be read", "c.html": "could not be read", "large.txt": "larger than 100 bytes",
+        "d.pdf": "unsupported file type: pdf", "e.txt": "not valid UTF-8", "f.txt": "file is blank",
+    }
+
+
+def test_text_of_an_expression_is_evaluated_once(spark, sf_dir):
+    from phraseloom.functions.text import html_to_text
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", html_to_text(F.col("html")).alias("text"))
+    good, bad = split_rejects(pages)
+    for part in (good, bad):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("<!--") == 1, plan
+    assert good.columns == ["page_id", "text", "reason"][:2] and bad.columns == ["page_id", "text", "reason"]
+
+
+def test_facets_of_a_written_tree(spark, tree):
+    import os
+
+    from phraseloom.operators.enrich import facets
+
+    for name, when in (("a.txt", "2021-03-05"), ("sub/b.txt.txt", "2021-03-20"), ("sub/deep/c.html", "2022-01-01")):
+        stamp = __import__("datetime").datetime.fromisoformat(when + "T12:00:00+00:00").timestamp()
+        os.utime(f"{tree}/{name}", (stamp, stamp))
+    documents, _ = files.fetch_documents(spark, tree)
+    known = spark.createDataFrame([("rare disease", 9.0), ("old drug", 6.0)], "phrase string, bm25 double")
+    rows = enrich(documents, model=known, created=F.col("modified"))
+    got = {(r.field, r.value, r.docs, r.rank) for r in facets(rows).collect()}
+    assert got == {
+        ("filetype", "txt", 2, 1), ("filetype", "html", 1, 2),
+        ("creation_ts", "2021-03-01", 2, 1), ("creation_ts", "2022-01-01", 1, 2),
+        ("terms", "old drug", 1, 1), ("terms", "rare disease", 1, 2),
+    }
+    assert {r.value for r in facets(rows, "year", 1).where("field = 'creation_ts'").collect()} == {"2021-01-01"}
+
+
+REFERENCES = {
+    "caf&#233; &#8217;x&#x27; &#X2122;&trade;": "café ’x' ™™",
+    "a &amp; b &amp;#39; &amp;amp;": "a & b &#39; &amp;",
+    "&unknown; & &; &#; &#x; &#0; &#xD800; &#1114112; &#9999999;": "&unknown; & &; &#; &#x; &#0; &#xD800; &#1114112; &#9999999;",
+    "&lt;p&gt; &nbsp;&eacute;&apos;&quot;": "<p> é'\"",
+    "&#128512;&#x1F600;": "😀😀",
+    "&": "&", "": "", "no reference; here": "no reference; here", "&amp": "&amp", "tail &lt;": "tail <",
+}
+
+
+def test_character_references_are_decoded_once(spark):
+    import duckdb
+
+    import oracle
+    from phraseloom.functions.text import html_to_text
+
+    rows = spark.createDataFrame([(k, v) for k, v in REFERENCES.items()], "html string, want string")
+    got = rows.select("html", "want", html_to_text(F.col("html")).alias("text")).collect()
+    assert {r.html: r.text for r in got} == REFERENCES
+    con = duckdb.connect()
+    for html, want in REFERENCES.items():
+        assert con.execute(f"SELECT {oracle.page_text_sql('x')} FROM (SELECT ? AS x)", [html]).fetchone()[0] == want
+    assert spark.range(1).select(html_to_text(F.lit(None).cast("string")).alias("t")).first().t is None
