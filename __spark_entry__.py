@@ -15,7 +15,7 @@ from phraseloom.functions.columns import base64_decode, base64_encode
 from phraseloom.operators import corpus, enrich, model, phrases, ranking, records, selection, summary
 from phraseloom.operators.tagging import LanguageTagger
 from phraseloom.params import DEFAULTS
-from phraseloom.plans import pipelines
+from phraseloom.plans import incremental, pipelines
 from phraseloom.sources import files, tables
 from phraseloom.staging import scratch_path, stage
 from phraseloom.streaming.scoring import score_stream
@@ -147,6 +147,40 @@ def q_phrase_model_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pipelines.build_model(corpus_docs(spark, sf_dir), BY_LANGUAGE), "bm25")
 
 
+def two_batches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All documents, as they would come in two batches."""
+    late = F.crc32("source") % 2 == 1
+    return docs.where(~late), docs.where(late)
+
+
+def q_model_after_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model of all documents, the second half of them added to the counts
+    of the first."""
+    path = scratch_path(spark, "profile")
+    for name, docs in zip(("first", "second"), two_batches(corpus_docs(spark, sf_dir)), strict=True):
+        incremental.add_documents(docs, path, name, BY_LANGUAGE, title_col="file")
+    return rounded(incremental.grown_model(spark, path), "bm25")
+
+
+def q_model_after_withdrawal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model of the first batch, after all came and the second went."""
+    path = scratch_path(spark, "profile")
+    docs = corpus_docs(spark, sf_dir)
+    incremental.add_documents(docs, path, "all", BY_LANGUAGE, title_col="file")
+    incremental.withdraw_documents(two_batches(docs)[1], path, "gone", BY_LANGUAGE, title_col="file")
+    return rounded(incremental.grown_model(spark, path), "bm25")
+
+
+def q_model_of_phrase_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model from files of phrase counts, written per language and id."""
+    path = scratch_path(spark, "delimited")
+    rows = doc_phrases(spark, sf_dir)
+    tables.write_delimited(rows.withColumn("file", F.concat_ws("/", "lang", F.col("doc_id").cast("string"))), path)
+    counted = tables.phrases_of_files(tables.read_delimited(spark, path))
+    counted = counted.withColumn("lang", F.substring_index("doc_id", "/", 1))
+    return rounded(model.phrase_model(counted), "bm25")
+
+
 def q_page_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = files.html_pages(table(spark, sf_dir, "pages"))
     return rounded(pipelines.build_model(pages, title_col="file"), "bm25")
@@ -345,6 +379,9 @@ def queries() -> dict[str, Query]:
         ),
         "published_model": lambda s, d: rounded(published_model(s, d), "bm25"),
         "phrase_model_by_language": q_phrase_model_by_language,
+        "model_after_append": q_model_after_append,
+        "model_after_withdrawal": q_model_after_withdrawal,
+        "model_of_phrase_files": q_model_of_phrase_files,
         "page_model": q_page_model,
         "phrase_file_roundtrip": q_phrase_file_roundtrip,
         # documents under a model

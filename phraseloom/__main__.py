@@ -6,7 +6,8 @@
     python -m phraseloom enrich  --input DOCS --output DIR [--model MODEL]
 
 ``DOCS`` is a folder of text and HTML files, or with ``--format parquet`` a
-table with ``doc_id`` and ``text``, or with ``--format table`` a catalog table,
+table with ``doc_id`` and ``text``, with ``--format phrases`` (build only) a
+folder of ``file TAB phrase TAB count`` lines, or with ``--format table`` a catalog table,
 bucketed by ``doc_id`` if text should not be shuffled. Partition sizes are set
 from the input; all else comes from spark-submit.
 """
@@ -25,7 +26,8 @@ from phraseloom.operators import records
 from phraseloom.operators.selection import split_rejects
 from phraseloom.operators.tagging import LanguageTagger, RuleTagger
 from phraseloom.params import DEFAULTS, Params
-from phraseloom.plans import pipelines
+from phraseloom.operators.model import phrase_model
+from phraseloom.plans import incremental, pipelines
 from phraseloom.sources import files, requests, tables
 from phraseloom.staging import Workspace
 from phraseloom.streaming.scoring import score_stream
@@ -57,6 +59,13 @@ def by_language(docs: DataFrame) -> LanguageTagger | None:
     return LanguageTagger() if "lang" in docs.columns else None
 
 
+def grow(spark: SparkSession, docs: DataFrame, tagger, p: Params, args: argparse.Namespace) -> None:
+    """Add or withdraw the documents as one segment, and derive the model."""
+    change = incremental.withdraw_documents if args.withdraw else incremental.add_documents
+    change(docs, args.profile, args.segment, tagger, p, title_col="file")
+    tables.write_model(incremental.grown_model(spark, args.profile, p), args.model)
+
+
 def params(args: argparse.Namespace) -> Params:
     given = {k: getattr(args, k) for k in ("min_bm25", "max_documents", "fallback") if getattr(args, k, None) is not None}
     return replace(DEFAULTS, **given)
@@ -68,8 +77,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if getattr(args, "format", "") != "table":
         session.apply(spark, session.input_bytes(spark, source))
     if args.job == "build":
+        if args.format == "phrases":
+            counts = tables.phrases_of_files(tables.read_delimited(spark, args.input))
+            tables.write_model(phrase_model(counts, p), args.model)
+            return
         with Workspace(spark) as workspace:
             docs = load(spark, args, workspace)
+            if args.profile:
+                grow(spark, docs, tagger or by_language(docs), p, args)
+                return
             sample = args.max_documents is not None
             model = pipelines.build_model(docs, tagger or by_language(docs), p, title_col="file", sample=sample)
             tables.write_model(model, args.model)
@@ -97,12 +113,15 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="phraseloom")
     jobs = top.add_subparsers(dest="job", required=True)
     build, analyze, stream, enrich = (jobs.add_parser(j) for j in ("build", "analyze", "stream", "enrich"))
-    for job in (build, enrich):
+    for job, extra in ((build, ("phrases",)), (enrich, ())):
         job.add_argument("--input", required=True)
-        job.add_argument("--format", choices=("files", "text", "parquet", "table"), default="files")
+        job.add_argument("--format", choices=("files", "text", "parquet", "table", *extra), default="files")
         job.add_argument("--folder", default="", help="start in a sub-folder of the input")
         job.add_argument("--min-bm25", type=float)
     build.add_argument("--model", required=True)
+    build.add_argument("--profile", help="a table of phrase counts that grows: the input is added to it, and all of it counts")
+    build.add_argument("--segment", default="first", help="name of this input in the profile; a name used before is replaced")
+    build.add_argument("--withdraw", action="store_true", help="take the input out of the profile")
     build.add_argument("--sample", dest="max_documents", type=int, help="use so many documents, at random")
     enrich.add_argument("--model", help="score against this model instead of the corpus's own")
     enrich.add_argument("--output", required=True)

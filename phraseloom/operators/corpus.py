@@ -57,21 +57,62 @@ def holder_marks(phrases: DataFrame) -> dict[str, Column]:
     return {"holder": F.xxhash64("doc_id"), "holder2": F.xxhash64(F.lit(1), "doc_id")}
 
 
-def holder_aggregates(marks: dict[str, Column], most: int) -> tuple[dict[str, Column], Column]:
-    """(aggregates, an array of theirs) that name the documents of a cell, if
-    there are at most ``most``. Of one document the least mark names it, of two
-    the least and the greatest, and more are kept in a bounded heap; whatever
-    the cell holds, its state has a fixed size."""
+def holder_aggregates(marks: dict[str, Column], most: int) -> dict[str, Column]:
+    """Aggregates that name the documents of a cell, if there are at most
+    ``most``. One document is the exclusive or of all marks of the cell, from
+    which marks can also be taken out again; more are kept in a bounded heap.
+    Whatever the cell holds, its state has a fixed size."""
     if most <= 1:
-        names = {name: F.min(mark) for name, mark in marks.items()}
-        return names, F.array(F.struct(*names))
-    if most == 2 and len(marks) == 1:
-        (name, mark), last = next(iter(marks.items())), "last_holder"
-        first = F.struct(name)
-        both = F.array(first, F.struct(F.col(last).alias(name)))
-        return {name: F.min(mark), last: F.max(mark)}, F.when(F.col("docs") == 1, F.array(first)).otherwise(both)
-    kept = InternalFunction.collect_top_k(F.struct(*(m.alias(n) for n, m in marks.items())), most, False)
-    return {"holders": kept}, F.col("holders")
+        return {name: F.bit_xor(mark) for name, mark in marks.items()}
+    return {"holders": InternalFunction.collect_top_k(F.struct(*(m.alias(n) for n, m in marks.items())), most, False)}
+
+
+def phrase_cells(phrases: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """([lang,] phrase, tf, dl, docs, holder.. or holders): documents per
+    (phrase, tf, dl). A table of cells can be added to another."""
+    found = holder_aggregates(holder_marks(phrases), p.min_corpus_count - 1)
+    return phrases.groupBy(*phrase_keys(phrases), "tf", "dl").agg(
+        F.count(F.lit(1)).alias("docs"), *[a.alias(name) for name, a in found.items()]
+    )
+
+
+def merged_cells(cells: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """One cell for all that have the same key. Where at most
+    ``min_corpus_count - 1`` documents remain, none of the merged lists was cut,
+    so the merged list names them all."""
+    keys = [*phrase_keys(cells), "tf", "dl"]
+    docs = F.sum("docs").alias("docs")
+    if "holders" in cells.columns:
+        heap = InternalFunction.collect_top_k(F.col("h"), max(p.min_corpus_count - 1, 1), False).alias("holders")
+        rows = cells.select(*keys, "docs", F.posexplode("holders").alias("i", "h"))
+        rows = rows.withColumn("docs", F.when(F.col("i") == 0, F.col("docs")).otherwise(0))
+        return rows.groupBy(*keys).agg(docs, heap)
+    if p.min_corpus_count > 2:
+        raise ValueError("the cells name one document each, too few for this minimum count")
+    marks = [c for c in cells.columns if c.startswith("holder")]
+    return cells.groupBy(*keys).agg(docs, *(F.bit_xor(m).alias(m) for m in marks)).where("docs <> 0")
+
+
+def withdrawn_cells(cells: DataFrame) -> DataFrame:
+    """What to add to cells to take the documents of ``cells`` out of them."""
+    if "holders" in cells.columns:
+        raise ValueError("documents can be withdrawn for a minimum count of 2 or less")
+    return cells.withColumn("docs", -F.col("docs"))
+
+
+def profile_of_cells(cells: DataFrame) -> DataFrame:
+    """([lang,] phrase, tf, dl, docs, holders, cf), partitioned by phrase."""
+    keys = phrase_keys(cells)
+    whole_phrase = Window.partitionBy(*keys)
+    profile = cells.repartition(*keys).withColumn("cf", F.sum(F.col("tf") * F.col("docs")).over(whole_phrase))
+    # Reading the marks everywhere gives every reader of the profile the same
+    # columns, which lets Spark reuse the exchange: the corpus is read and
+    # counted once per query.
+    marks = [c for c in cells.columns if c.startswith("holder")]
+    for name in marks:
+        profile = profile.where(F.size(name) > 0 if name == "holders" else F.col(name).isNotNull())
+    holders = F.col("holders") if marks == ["holders"] else F.array(F.struct(*marks))
+    return profile.select(*keys, "tf", "dl", "docs", holders.alias("holders"), "cf")
 
 
 def phrase_profile(phrases: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -85,19 +126,7 @@ def phrase_profile(phrases: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     the phrase less than ``min_corpus_count`` times, as it then has fewer
     documents than that.
     """
-    keys = phrase_keys(phrases)
-    found, holders = holder_aggregates(holder_marks(phrases), p.min_corpus_count - 1)
-    cells = phrases.groupBy(*keys, "tf", "dl").agg(
-        F.count(F.lit(1)).alias("docs"), *[a.alias(name) for name, a in found.items()]
-    )
-    whole_phrase = Window.partitionBy(*keys)
-    profile = cells.repartition(*keys).withColumn("cf", F.sum(F.col("tf") * F.col("docs")).over(whole_phrase))
-    # Reading the marks everywhere gives every reader of the profile the same
-    # columns, which lets Spark reuse the exchange: the corpus is read and
-    # counted once per query.
-    for name in found:
-        profile = profile.where(F.size(name) > 0 if name == "holders" else F.col(name).isNotNull())
-    return profile.select(*keys, "tf", "dl", "docs", holders.alias("holders"), "cf")
+    return profile_of_cells(phrase_cells(phrases, p))
 
 
 def stats_of_profile(profile: DataFrame, p: Params = DEFAULTS) -> DataFrame:

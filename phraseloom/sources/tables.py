@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phraseloom.operators.joins import phrase_keys
@@ -25,6 +25,14 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def phrases_of_files(counts: DataFrame) -> DataFrame:
+    """(doc_id, dl, phrase, tf) of what phrase files hold, to build a model
+    from: a phrase that a file names twice is counted together, lines without
+    a count are skipped."""
+    summed = counts.where(F.col("tf") > 0).groupBy(F.col("file").alias("doc_id"), "phrase").agg(F.sum("tf").alias("tf"))
+    return summed.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id"))).select("doc_id", "dl", "phrase", "tf")
+
+
 def append_phrases(phrases: DataFrame, path: str) -> None:
     phrases.write.mode("append").parquet(path)
 
