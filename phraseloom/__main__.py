@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from phraseloom import session
 from phraseloom.functions.lexicon import LEXICONS
-from phraseloom.operators import records
 from phraseloom.operators.selection import split_rejects
 from phraseloom.operators.tagging import LanguageTagger, RuleTagger
 from phraseloom.params import DEFAULTS, Params
@@ -98,8 +97,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             model = tables.read_model(spark, args.model) if args.model else None
             if args.job == "analyze":
                 bodies = requests.read_requests(spark, args.requests)
-                requests.write_responses(pipelines.analyze(bodies, model, tagger, p, workspace), args.output)
-                refused = records.request_rejects(bodies)
+                answers, refused = pipelines.analyze_with_rejects(bodies, model, tagger, p, workspace)
+                requests.write_responses(answers, args.output)
                 refused.write.mode("overwrite").parquet(args.rejects or args.output.rstrip("/") + "-rejects")
             else:
                 docs = load(spark, args, workspace)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phraseloom.functions.columns import let
 from phraseloom.operators.ranking import phrase_names
 from phraseloom.operators.summary import no_phrases
 from phraseloom.schemas import REQUEST_DDL
@@ -13,42 +14,61 @@ ERROR_PREFIX = "Error processing the Document: "
 NO_PHRASE = "no candidate phrase found"
 
 
-def parse_requests(bodies: DataFrame, body_col: str = "body", id_col: str = "request_id") -> DataFrame:
-    """(request_id, values); ``values`` is NULL for a body that is no request."""
-    return bodies.select(
-        F.col(id_col).alias("request_id"), F.from_json(body_col, REQUEST_DDL)["values"].alias("values")
+def request_rows(bodies: DataFrame, body_col: str = "body", id_col: str = "request_id") -> DataFrame:
+    """All that bodies hold, by one parse of each: (request_id, pos, recordId,
+    content, problem, corrupt_body). A row per record; one row without ``pos``
+    for a request without records, and for a body that is no request, which
+    then is ``corrupt_body``. ``content`` is set only where it is a JSON
+    string."""
+
+    def parts(values: Column) -> Column:
+        corrupt = F.when(values.isNull(), F.coalesce(F.col(body_col), F.lit("")))
+        return F.struct(values.alias("values"), corrupt.alias("corrupt_body"))
+
+    parsed = bodies.select(
+        F.col(id_col).alias("request_id"), let(F.from_json(body_col, REQUEST_DDL)["values"], parts).alias("p")
+    )
+    rows = parsed.select("request_id", "p.values", "p.corrupt_body")
+    rows = rows.select("request_id", "corrupt_body", F.posexplode_outer("values").alias("pos", "record"))
+    value = F.expr("try_variant_get(record.data, '$.content', 'variant')")
+    kind = F.schema_of_variant(value)
+    problem = (
+        F.when(F.col("record.data").isNull() | value.isNull(), "content is missing")
+        .when(kind == "VOID", "content is null")
+        .when(kind != "STRING", "content is not a string")
+    )
+    content = F.when(kind == "STRING", F.expr("try_variant_get(record.data, '$.content', 'string')"))
+    return rows.select(
+        "request_id",
+        "pos",
+        F.col("record.recordId").alias("recordId"),
+        content.alias("content"),
+        F.when(F.col("pos").isNotNull(), problem).alias("problem"),
+        "corrupt_body",
     )
 
 
-def request_rejects(bodies: DataFrame, body_col: str = "body", id_col: str = "request_id") -> DataFrame:
+def records_of(rows: DataFrame) -> DataFrame:
+    """(request_id, pos, recordId, content, problem): one row per record."""
+    return rows.where(F.col("pos").isNotNull()).drop("corrupt_body")
+
+
+def rejects_of(rows: DataFrame) -> DataFrame:
     """Bodies that fail as a whole, kept with their text."""
-    parsed = F.from_json(body_col, REQUEST_DDL)["values"]
-    return bodies.where(parsed.isNull()).select(F.col(id_col).alias("request_id"), F.col(body_col).alias("corrupt_body"))
+    return rows.where(F.col("corrupt_body").isNotNull()).select("request_id", "corrupt_body")
 
 
-def empty_requests(bodies: DataFrame, body_col: str = "body", id_col: str = "request_id") -> DataFrame:
+def empty_of(rows: DataFrame) -> DataFrame:
     """(request_id) of requests without any record."""
-    return parse_requests(bodies, body_col, id_col).where(F.size("values") == 0).select("request_id")
+    return rows.where(F.col("pos").isNull() & F.col("corrupt_body").isNull()).select("request_id")
+
+
+def request_rejects(bodies: DataFrame, body_col: str = "body", id_col: str = "request_id") -> DataFrame:
+    return rejects_of(request_rows(bodies, body_col, id_col))
 
 
 def request_records(bodies: DataFrame, body_col: str = "body", id_col: str = "request_id") -> DataFrame:
-    """(request_id, pos, recordId, content, problem): one row per record.
-    ``content`` is set only where it is a JSON string."""
-    rows = (
-        parse_requests(bodies, body_col, id_col)
-        .select("request_id", F.posexplode_outer("values").alias("pos", "record"))
-        .where(F.col("pos").isNotNull())
-        .select("request_id", "pos", "record.recordId", "record.data")
-    )
-    value = F.expr("try_variant_get(data, '$.content', 'variant')")
-    kind = F.schema_of_variant(value)
-    problem = (
-        F.when(F.col("data").isNull() | value.isNull(), "content is missing")
-        .when(kind == "VOID", "content is null")
-        .when(kind != "STRING", "content is not a string")
-    )
-    content = F.when(kind == "STRING", F.expr("try_variant_get(data, '$.content', 'string')"))
-    return rows.select("request_id", "pos", "recordId", content.alias("content"), problem.alias("problem"))
+    return records_of(request_rows(bodies, body_col, id_col))
 
 
 def record_key() -> Column:

@@ -18,9 +18,11 @@ from phraseloom.operators.phrases import doc_phrases, phrase_bags, text_bags
 from phraseloom.operators.ranking import document_keyphrases, document_matches, keyphrase_lists
 from phraseloom.operators.records import (
     NO_PHRASE,
-    empty_requests,
+    empty_of,
     record_key,
-    request_records,
+    records_of,
+    rejects_of,
+    request_rows,
     response_record,
     responses,
 )
@@ -108,16 +110,16 @@ def summarize(
     return document_summaries(ranked_documents(docs, model, tagger, p, bags), p)
 
 
-def analyze_records(
-    bodies: DataFrame,
+def answered_records(
+    rows: DataFrame,
     model: DataFrame,
     tagger: Tagger | None = None,
     p: Params = DEFAULTS,
     workspace: Workspace | None = None,
 ) -> DataFrame:
-    """(request_id, pos, record struct): an answer for every record of every
-    request, errors included."""
-    records = request_records(bodies).withColumn("doc_id", record_key())
+    """(request_id, pos, record struct) of ``rows``, a written table that
+    ``request_rows`` made."""
+    records = records_of(rows).withColumn("doc_id", record_key())
     asked = records.where(F.col("problem").isNull()).select("doc_id", F.col("content").alias("text"))
     # Kept as one table: its lengths tell which records hold no phrase at all.
     bags = stage(phrase_bags(asked, tagger_for(asked, model, tagger), p), "bags", workspace)
@@ -130,6 +132,33 @@ def analyze_records(
     return answered.select("request_id", "pos", response_record(F.col("problem"), keyphrases, picked).alias("record"))
 
 
+def analyze_records(
+    bodies: DataFrame,
+    model: DataFrame,
+    tagger: Tagger | None = None,
+    p: Params = DEFAULTS,
+    workspace: Workspace | None = None,
+) -> DataFrame:
+    """(request_id, pos, record struct): an answer for every record of every
+    request, errors included."""
+    rows = stage(request_rows(bodies), "requests", workspace)
+    return answered_records(rows, model, tagger, p, workspace)
+
+
+def analyze_with_rejects(
+    bodies: DataFrame,
+    model: DataFrame,
+    tagger: Tagger | None = None,
+    p: Params = DEFAULTS,
+    workspace: Workspace | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """((request_id, body) answers, (request_id, corrupt_body) rejects): the
+    JSON answer to every parseable request, also to one without records, and
+    the others. Each body is parsed once, when its records are written."""
+    rows = stage(request_rows(bodies), "requests", workspace)
+    return responses(answered_records(rows, model, tagger, p, workspace), empty_of(rows)), rejects_of(rows)
+
+
 def analyze(
     bodies: DataFrame,
     model: DataFrame,
@@ -137,9 +166,7 @@ def analyze(
     p: Params = DEFAULTS,
     workspace: Workspace | None = None,
 ) -> DataFrame:
-    """(request_id, body): the JSON answer to every parseable request, also
-    to one without records. The others are ``request_rejects``."""
-    return responses(analyze_records(bodies, model, tagger, p, workspace), empty_requests(bodies))
+    return analyze_with_rejects(bodies, model, tagger, p, workspace)[0]
 
 
 def enrich(

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from phraseloom.operators.records import request_rejects
+from phraseloom.operators.records import rejects_of, request_rows
 from phraseloom.operators.tagging import Tagger
 from phraseloom.params import DEFAULTS, Params
-from phraseloom.plans.pipelines import analyze_records
+from phraseloom.plans.pipelines import answered_records
 from phraseloom.sources.tables import read_model
-from phraseloom.staging import Workspace
+from phraseloom.staging import Workspace, stage
 
 
 def score_stream(
@@ -38,9 +38,10 @@ def score_stream(
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         model = read_model(batch.sparkSession, model_path)
         with Workspace(batch.sparkSession) as workspace:
-            answers = analyze_records(batch, model, tagger, p, workspace)
+            rows = stage(request_rows(batch), "requests", workspace)
+            answers = answered_records(rows, model, tagger, p, workspace)
             answers.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
-            refused = request_rejects(batch)
+            refused = rejects_of(rows)
             refused.write.mode("overwrite").parquet(f"{rejects or output + '-rejects'}/batch={batch_id}")
 
     return (

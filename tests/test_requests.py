@@ -133,3 +133,27 @@ def test_stream_answers_what_the_batch_answers(spark, bodies, model, tmp_path):
     batch = sorted(str(r.record) for r in analyze_records(bodies, model).collect())
     assert streamed == batch
     assert len(list(out.glob("batch=*"))) > 1
+
+
+def test_a_body_is_parsed_once_for_answers_and_rejects(spark, monkeypatch):
+    """The one plan with a parser is the one that writes the records."""
+    from phraseloom.plans import pipelines
+
+    bodies = spark.createDataFrame(
+        [("a", '{"values":[{"recordId":"1","data":{"content":"Rare disease."}}]}'), ("b", '{"values":[]}'), ("c", "no json"), ("d", None)],
+        "request_id string, body string",
+    )
+    plans = []
+    plain = pipelines.stage
+
+    def stage(df, name, workspace=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name, workspace)
+
+    monkeypatch.setattr(pipelines, "stage", stage)
+    known = spark.createDataFrame([("rare disease", 9.0)], "phrase string, bm25 double")
+    answers, rejects = pipelines.analyze_with_rejects(bodies, known)
+    assert {r.request_id for r in answers.collect()} == {"a", "b"}
+    assert {(r.request_id, r.corrupt_body) for r in rejects.collect()} == {("c", "no json"), ("d", "")}
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (answers, rejects)]
+    assert sum(p.count("from_json") for p in plans) == 1
