@@ -13,7 +13,7 @@ import oracle
 from phraseloom.functions import text as tx
 from phraseloom.functions.columns import base64_decode, base64_encode
 from phraseloom.operators import corpus, enrich, model, phrases, ranking, records, selection, summary
-from phraseloom.operators.tagging import LanguageTagger
+from phraseloom.operators.tagging import ContextTagger, LanguageTagger
 from phraseloom.params import DEFAULTS
 from phraseloom.plans import incremental, pipelines
 from phraseloom.sources import files, tables
@@ -352,6 +352,8 @@ def queries() -> dict[str, Query]:
         "singular_tokens": lambda s, d: phrases.singular_tokens(
             phrases.content_tokens(phrases.tagged_tokens(documents(s, d)))
         ).drop("tag"),
+        "context_tags": lambda s, d: phrases.tagged_tokens(documents(s, d), ContextTagger()),
+        "context_phrases": lambda s, d: phrases.candidate_phrases(documents(s, d), ContextTagger()),
         "candidate_phrases": lambda s, d: phrases.candidate_phrases(corpus_docs(s, d), BY_LANGUAGE),
         "phrase_runs": lambda s, d: phrases.phrase_runs(
             phrases.tagged_tokens(corpus_docs(s, d), BY_LANGUAGE), tagger=BY_LANGUAGE

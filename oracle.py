@@ -82,6 +82,22 @@ def tagged_sql(docs: str, lexicon: lx.Lexicon = lx.ENGLISH) -> str:
     )
 
 
+def context_sql(docs: str) -> str:
+    """Tags changed rule by rule, by what stands before and behind."""
+    q = tagged_sql(docs)
+    for rule in lx.ENGLISH_CONTEXT:
+        fits = f"tag IN ({quoted(rule.tag)})"
+        if rule.after:
+            fits += f" AND coalesce(lag(tag) OVER o IN ({quoted(rule.after)}), false)"
+        if rule.before:
+            fits += f" AND coalesce(lead(tag) OVER o IN ({quoted(rule.before)}), false)"
+        q = (
+            f"SELECT doc_id, pos, token, CASE WHEN {fits} THEN '{rule.to}' ELSE tag END AS tag "
+            f"FROM ({q}) r WINDOW o AS (PARTITION BY doc_id ORDER BY pos)"
+        )
+    return q
+
+
 def by_language(make) -> str:
     """An expression for the language of the row."""
     cases = "".join(f" WHEN '{lang}' THEN {make(lexicon)}" for lang, lexicon in lx.LEXICONS.items())
@@ -260,6 +276,15 @@ def oracle_sql() -> dict[str, str]:
         "content_tokens": f"SELECT doc_id, pos, token, tag FROM ({tagged_sql(all_docs)}) t WHERE {CONTENT}",
         "singular_tokens": f"SELECT doc_id, pos, token, {singular_sql('f')} AS singular FROM "
         f"(SELECT *, {fold('token')} AS f FROM ({tagged_sql(all_docs)}) t WHERE {CONTENT}) c",
+        "context_tags": context_sql(all_docs),
+        "context_phrases": f"""WITH marked AS (
+          SELECT doc_id, pos, {singular_sql(fold('token'))} AS word, NOT {CONTENT} AS closes,
+            sum(CASE WHEN {CONTENT} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run
+          FROM ({context_sql(all_docs)}) c),
+        ends AS (SELECT doc_id, max(run) AS closed FROM marked GROUP BY doc_id)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INTEGER) AS n,
+          string_agg(word, ' ' ORDER BY pos) AS phrase
+        FROM marked JOIN ends USING (doc_id) WHERE NOT closes AND run < closed GROUP BY doc_id, run""",
         "candidate_phrases": base
         + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INTEGER) AS n, phrase FROM cand",
         "doc_phrase_counts": titled + "SELECT doc_id, phrase, tf FROM dp",

@@ -1,6 +1,6 @@
 """Corpus-wide key phrases and extractive summaries on Spark."""
 
-from phraseloom.operators.tagging import LanguageTagger, PandasTagger, RuleTagger
+from phraseloom.operators.tagging import ContextTagger, LanguageTagger, PandasTagger, RuleTagger
 from phraseloom.params import Params
 from phraseloom.plans.pipelines import (
     analyze,
@@ -13,6 +13,7 @@ from phraseloom.plans.pipelines import (
 )
 
 __all__ = [
+    "ContextTagger",
     "LanguageTagger",
     "PandasTagger",
     "Params",

@@ -89,6 +89,32 @@ ENGLISH_SUFFIXES = (
     ("al", "JJ"),
 )
 
+
+
+@dataclass(frozen=True)
+class ContextRule:
+    """A token tagged ``tag`` becomes ``to`` where the tag before it is one of
+    ``after`` and the tag behind it one of ``before``; no tags mean any."""
+
+    tag: tuple[str, ...]
+    to: str
+    after: tuple[str, ...] = ()
+    before: tuple[str, ...] = ()
+
+
+# --- fixed values: English rules over neighbouring tags, in order -----------
+ENGLISH_CONTEXT = (
+    # to run, will plan, they plan
+    ContextRule(("NN",), "VB", after=("TO", "MD")),
+    ContextRule(("NN",), "VBP", after=("PRP",), before=("DT", "IN", "PRP", "TO", "RB")),
+    # the apply, a reply
+    ContextRule(("VB",), "NN", after=("DT",)),
+    # the used car, a growing town, the ghostly house
+    ContextRule(("VBD", "VBG", "RB"), "JJ", after=("DT",), before=("NN",)),
+    # I like the town, to near the town
+    ContextRule(("IN",), "VB", after=("PRP", "MD", "TO"), before=("DT",)),
+)
+
 ENGLISH = Lexicon("en", ENGLISH_CLOSED, ENGLISH_SUFFIXES, known=ENGLISH_KNOWN)
 
 # --- fixed values: closed-class words of three further languages ------------

@@ -28,7 +28,7 @@ def tagged_tokens(
     if isinstance(tagger, LanguageTagger):
         rows = document_tokens(docs, id_col, text_col, *tagger.columns)
         return rows.withColumn("tag", tagger.tag(F.col("token")))
-    if isinstance(tagger, RuleTagger):  # token by token, in generated code
+    if type(tagger) is RuleTagger:  # token by token, in generated code
         return document_tokens(docs, id_col, text_col).withColumn("tag", tagger.tag(F.col("token")))
     pairs = docs.select(id_col, words.tokenize(F.col(text_col)).alias("tokens")).select(
         id_col, "tokens", tagger.tags(F.col("tokens")).alias("tags")

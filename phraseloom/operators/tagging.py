@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from phraseloom.functions import words
 from phraseloom.functions.columns import BAR, fold, let
-from phraseloom.functions.lexicon import ENGLISH, LEXICONS, Lexicon
+from phraseloom.functions.lexicon import ENGLISH, ENGLISH_CONTEXT, LEXICONS, ContextRule, Lexicon
 from phraseloom.params import Params
 
 
@@ -58,6 +58,42 @@ class RuleTagger:
         return F.transform(words.tokenize(fold(text)), mark)
 
 
+class ContextTagger(RuleTagger):
+    """A rule tagger whose tags are then changed by an ordered list of rules
+    over neighbouring tags. Every rule passes once over the tags that the one
+    before it left, all places at once; a place outside the text has no tag."""
+
+    def __init__(self, lexicon: Lexicon = ENGLISH, rules: Sequence[ContextRule] = ENGLISH_CONTEXT):
+        super().__init__(lexicon)
+        self.rules = tuple(rules)
+
+    def tags(self, tokens: Column) -> Column:
+        tags = F.transform(tokens, self.tag)
+        for rule in self.rules:
+            tags = self._changed(tags, rule)
+        return tags
+
+    def _changed(self, tags: Column, rule: ContextRule) -> Column:
+        def all_places(found: Column) -> Column:
+            def one(tag: Column, i: Column) -> Column:
+                fits = tag.isin(*rule.tag)
+                if rule.after:
+                    fits = fits & F.when(i > 0, F.get(found, i - 1).isin(*rule.after)).otherwise(False)
+                if rule.before:
+                    fits = fits & F.coalesce(F.get(found, i + 1).isin(*rule.before), F.lit(False))
+                return F.when(fits, rule.to).otherwise(tag)
+
+            return F.transform(found, one)
+
+        return let(tags, all_places)
+
+    def marked_words(self, text: Column, p: Params) -> Column:
+        def one(token: Column, tag: Column) -> Column:
+            return F.when(words.is_content(token, tag, p.min_token_length), self.word(token)).otherwise(BAR)
+
+        return let(words.tokenize(text), lambda tokens: F.zip_with(tokens, self.tags(tokens), one))
+
+
 class LanguageTagger:
     """A rule tagger per language, chosen by a column of the documents.
 

@@ -103,3 +103,39 @@ def test_at_least_words_edges(spark):
     for n in (0, 1, 2, 3, 4):
         texts = ["", " ", "a", " a", "a b", " a b", "a b c", "a b c d ", "\n\t a  b c", "a "]
         assert column(spark, texts, lambda c: c.rlike(at_least_words(n))) == [word_count(t) >= n for t in texts]
+
+
+@pytest.mark.parametrize(
+    ("text", "tags"),
+    [
+        ("to run", "TO VB"),
+        ("the run", "DT NN"),
+        ("the reply", "DT NN"),
+        ("a used car", "DT JJ NN"),
+        ("the ghostly house", "DT JJ NN"),
+        ("slowly the house", "RB DT NN"),
+        ("they like the town", "PRP VB DT NN"),
+        ("they plan the town", "PRP VBP DT NN"),
+        ("run", "NN"),
+        ("", ""),
+    ],
+)
+def test_tags_by_context(spark, text, tags):
+    from phraseloom import ContextTagger
+    from phraseloom.functions.words import tokenize
+
+    got = spark.createDataFrame([(text,)], "t string").select(ContextTagger().tags(tokenize(F.col("t"))).alias("x"))
+    assert " ".join(got.first().x) == tags
+
+
+def test_phrases_by_context(spark):
+    from phraseloom import ContextTagger
+    from phraseloom.operators.phrases import candidate_phrases, phrase_runs, tagged_tokens
+
+    docs = spark.createDataFrame(
+        [(1, "The Ghostly house fell. They near the town."), (2, None), (3, " ")], "doc_id int, text string"
+    )
+    got = candidate_phrases(docs, ContextTagger()).orderBy("n").collect()
+    assert [(r.doc_id, r.phrase) for r in got] == [(1, "ghostly house fell"), (1, "near"), (1, "town")]
+    runs = phrase_runs(tagged_tokens(docs, ContextTagger()), tagger=ContextTagger())
+    assert [r.phrase for r in runs.orderBy("run").collect()] == ["ghostly house fell", "near", "town"]
