@@ -8,14 +8,15 @@ regression over the set of buckets decides: block from ``threshold`` on, which
 lies below one half because most labelled URLs are clean.
 
 The regression is trained here, by gradient steps that are aggregates over a
-small labelled table (url, label; 1 means block). Its weights are one number
+small labelled table (url, label; 1 means block), ``urlsamples``. Its weights are one number
 per bucket, an array in the plan. Unknown n-grams have weight 0 and the bias is
 that of a clean URL, so an unknown URL is allowed.
 
 A null URL, or one without ``://``, has an empty host and path, no n-grams and
 no rule; it gets the verdict of the bias. Repeated rows are judged each; empty
-tables give no rows; columns other than id and URL are not read. An empty
-labelled table allows whatever no rule blocks.
+tables give no rows; columns other than id and URL are not read. A very long
+URL has as many n-grams as characters, and each distinct one counts once. An
+empty labelled table allows whatever no rule blocks.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phraseloom.functions.columns import let
 from phraseloom.llm.urlsamples import labelled_urls
 from phraseloom.staging import stage
 
-# Rules are part of the plan; a table of more does not belong there.
-MAX_RULES = 10_000
+# So many rules are a part of the plan; more are joined as a table.
+PLAN_RULES = 200
 
 
 @dataclass(frozen=True)
@@ -77,8 +79,6 @@ def path_of(url: Column) -> Column:
 def matching_rule(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits; null if none does.
     Rules of equal length: the first one given."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit into a plan")
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
     for r in sorted(reversed(rules), key=lambda r: len(r.text)):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
@@ -86,19 +86,49 @@ def matching_rule(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES
     return found
 
 
-def _grams(text: Column, mark: str, n: int) -> Column:
-    bounded = F.concat(F.lit("^"), text, F.lit("$"))
-    last = F.length(bounded) - n + 1
-    at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.concat(F.lit(f"{mark}{n}"), F.substring(bounded, i, F.lit(n))))
+def rule_table(spark: SparkSession, rules: tuple[UrlRule, ...]) -> DataFrame:
+    rows = [(r.verdict, r.host, r.path, i) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "verdict string, host string, path string, turn long")
+
+
+def with_rule(rows: DataFrame, rules: tuple[UrlRule, ...] | DataFrame) -> DataFrame:
+    """``rows`` (host, path, ...) with ``fit``, as ``matching_rule`` has it.
+    Rules may be a table (verdict, host, path, turn) of any size: each distinct
+    host and path meets the rules of its host and of all parents by a join."""
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= PLAN_RULES:
+            return rows.withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
+        rules = rule_table(rows.sparkSession, rules)
+    rules = rules.select("verdict", F.col("host").alias("parent"), F.col("path").alias("prefix"), "turn")
+    labels = F.split("host", "[.]", -1)
+    parents = F.transform(
+        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+    )
+    places = rows.select("host", "path").distinct().withColumn("parent", F.explode(parents))
+    fits = places.join(rules, "parent").where(F.col("path").startswith(F.col("prefix")))
+    text = F.concat("parent", "prefix")
+    best = F.max_by(F.struct(text.alias("rule"), "verdict"), F.struct(F.length(text), -F.col("turn")))
+    return rows.join(fits.groupBy("host", "path").agg(best.alias("fit")), ["host", "path"], "left")
+
+
+def _grams(text: Column, mark: str, sizes: tuple[int, ...]) -> Column:
+    """The n-grams of a text between a mark of its beginning and one of its
+    end. The characters are taken apart once, so a long text is read once."""
+
+    def of_size(characters: Column, n: int) -> Column:
+        last = F.size(characters) - n
+        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat(F.lit(f"{mark}{n}"), *(F.get(characters, i + k) for k in range(n))))
+
+    bounded = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
+    return let(bounded, lambda characters: F.concat(*(of_size(characters, n) for n in sizes)))
 
 
 def features(host: Column, path: Column, how: UrlModel = DEFAULTS) -> Column:
     """The distinct buckets of a URL's n-grams; digits count as one digit."""
     parts = []
     for text, mark in ((host, "h"), (path, "p")):
-        text = F.regexp_replace(text, "[0-9]+", "0")
-        parts += [_grams(text, mark, n) for n in how.sizes]
+        parts.append(_grams(F.regexp_replace(text, "[0-9]+", "0"), mark, how.sizes))
     hashed = F.transform(F.concat(*parts), lambda g: F.pmod(F.xxhash64(g), F.lit(how.buckets)).cast("int"))
     return F.when((host == "") & (path == ""), F.array().cast("array<int>")).otherwise(F.array_distinct(hashed))
 
@@ -136,7 +166,7 @@ def trained(spark: SparkSession, labelled: DataFrame | None = None, how: UrlMode
 
 def judged(
     pages: DataFrame,
-    rules: tuple[UrlRule, ...] = RULES,
+    rules: tuple[UrlRule, ...] | DataFrame = RULES,
     labelled: DataFrame | None = None,
     how: UrlModel = DEFAULTS,
     id_col: str = "page_id",
@@ -145,11 +175,11 @@ def judged(
     """A row per URL: id, ``host``, ``path``, ``rule``, ``verdict`` and
     ``score``, the probability of block."""
     weights, bias = trained(pages.sparkSession, labelled, how)
-    rows = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    rows = rows.withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
+    rows = pages.select(F.col(id_col).alias("own_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    rows = with_rule(rows, rules)
     rows = rows.withColumn("found", features(F.col("host"), F.col("path"), how))
     rows = rows.withColumn("score", 1 / (1 + F.exp(-_margin(F.col("found"), weights, bias))))
     own = F.when(F.col("score") >= how.threshold, "block").otherwise("allow")
     return rows.select(
-        id_col, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), "score"
+        F.col("own_id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), "score"
     )
