@@ -9,18 +9,22 @@ searched in turn among the sorted test suffixes: the longer of its agreements
 with both neighbours is the longest verbatim match there. Nothing is shuffled:
 shards are rows that a task holds anyway, and they are joined to no other.
 
-The test set is sent to the executors in parts of at most ``PART_BYTES`` of
-text (one item at least), so neither the driver nor a task ever holds more of
-it than one part; each shard is searched for each part in turn.
+The test set is dealt out by hash to parts of about ``PART_BYTES`` of text.
+Tasks build each part once, suffix array included, and write it to a table; the
+driver hands the finished parts over to the executors one by one, so it holds
+one at a time, and workers load a part from their machine's disk. Each shard is
+searched for each part in turn; no array is sorted twice.
 
 A null text has no words. An item with fewer words than a window is a window
 itself; an item without words is none. Item ids are compared as strings, a null
 id is the empty string. Repeated items count once per id. Empty tables give no
-rows, or no hits. Columns other than those named are not read.
+rows, or no hits. A very long text is a shard of its own. Columns other than
+those named are not read; one that has the name of a result gives way to it.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,9 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phraseloom.llm import textblocks as tb
+from phraseloom.staging import stage
 
 WINDOW = 10
 PART_BYTES = 16 << 20
+# parts that a worker keeps in memory
+LOADED = 4
 FOUND = (
     "n_words long, n_hit long, items array<string>, longest_match long, longest_item string, longest_at long"
 )
@@ -191,19 +198,22 @@ def _search(words: tb.Words, part: TestPart) -> Hits | None:
 class _Parts:
     """The parts of the test set, one at a time."""
 
-    # the part that a worker used last
-    last: tuple[Broadcast | None, int, TestPart | None] = (None, 0, None)
+    # the parts that a worker has loaded, the latest last
+    loaded: dict[int, tuple[Broadcast, TestPart]] = {}
 
     def __init__(self, sent: list[Broadcast], size: int):
         self.sent, self.size = sent, size
 
     def __iter__(self) -> Iterator[TestPart]:
         for sent in self.sent:
-            if _Parts.last[0] is not sent or _Parts.last[1] != self.size:
-                _Parts.last = (None, 0, None)
-                _Parts.last = (sent, self.size, test_part(*sent.value, self.size))
+            known = _Parts.loaded.get(id(sent))
+            # a broadcast is an object of its own in each worker; held here, its id is not used again
+            if known is None or known[0] is not sent:
+                while len(_Parts.loaded) >= LOADED:
+                    _Parts.loaded.pop(next(iter(_Parts.loaded)))
+                known = _Parts.loaded[id(sent)] = sent, TestPart(*pickle.loads(sent.value))
                 vars(sent).pop("_value", None)  # read from disk again if asked for
-            yield _Parts.last[2]
+            yield known[1]
 
 
 def _scan_block(texts: tb.Texts, parts: _Parts) -> list[pa.Array]:
@@ -265,20 +275,30 @@ def _scan(parts: _Parts, text: str):
     return run
 
 
-def _send(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int) -> list[Broadcast]:
-    sc = benchmark.sparkSession.sparkContext
+def _built(size: int):
+    def run(items: pa.Table) -> pa.Table:
+        part = test_part(items.column("item").to_pylist(), items.column("text").to_pylist(), size)
+        return pa.table({"part": items.column("part").slice(0, 1), "built": pa.array([pickle.dumps(tuple(part))], pa.binary())})
+
+    return run
+
+
+def built_parts(benchmark: DataFrame, size: int, item_col: str, text_col: str, part_bytes: int) -> DataFrame:
+    """(part, built): the test set in parts, a written table."""
     rows = benchmark.select(
-        F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
-    )
-    sent, ids, texts, size = [], [], [], 0
-    for item, text in rows.toLocalIterator():
-        if ids and size + len(text) > part_bytes:
-            sent.append(sc.broadcast((ids, texts)))
-            ids, texts, size = [], [], 0
-        ids.append(item)
-        texts.append(text)
-        size += len(text)
-    return [*sent, sc.broadcast((ids, texts))] if ids else sent
+        F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    ).distinct()
+    total = rows.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    number = max(1, -(-total // part_bytes))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(number)).cast("int"))
+    return stage(rows.groupBy("part").applyInArrow(_built(size), "part int, built binary"), "test-parts")
+
+
+def _send(parts: DataFrame) -> list[Broadcast]:
+    sc = parts.sparkSession.sparkContext
+    numbers = sorted(r.part for r in parts.select("part").collect())
+    # one part at a time
+    return [sc.broadcast(bytes(parts.where(F.col("part") == k).first().built)) for k in numbers]
 
 
 def matches(
@@ -292,15 +312,19 @@ def matches(
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit`` (words inside a window of a test
     item), ``items`` (their ids, sorted), and the longest verbatim match: its
-    words, its item and its first word in the document. ``docs`` must not have
-    columns of these names."""
-    parts = _Parts(_send(benchmark, item_col, item_text_col, part_bytes), window)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scan(parts, text_col), f"{fields}, {FOUND}")
+    words, its item and its first word in the document. Columns of these names
+    that ``docs`` has already give way."""
+    parts = _Parts(_send(built_parts(benchmark, window, item_col, item_text_col, part_bytes)), window)
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"col_{i}") for i, c in enumerate(docs.columns)))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema)
+    found = inner.mapInArrow(_scan(parts, f"col_{docs.columns.index(text_col)}"), f"{fields}, {FOUND}")
+    results = [x.split()[0] for x in FOUND.split(", ")]
+    own = [F.col(f"col_{i}").alias(c) for i, c in enumerate(docs.columns) if c not in results]
+    return found.select(*own, *results)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """The documents without any test window; their columns."""
-    inner = docs.select(*(F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns)))
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns)))
     found = matches(inner, benchmark, window, f"own_{docs.columns.index(text_col)}")
     return found.where("n_hit = 0").select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -236,7 +236,7 @@ def found_spans(
 
 def scanned(docs: DataFrame, how: SecretScan = DEFAULTS, samples: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``spans``, arrays of (kind, start, end) in
-    order; ``docs`` must not have columns of these names."""
+    order; columns of these names that ``docs`` has already give way."""
     samples = labelled_strings(docs, how, text_col) if samples is None else samples
     text, model = F.coalesce(F.col(text_col), F.lit("")), trained(samples, how)
     rows = docs.withColumn("base", found_spans(text, None)[0])

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from phraseloom.llm import decontaminate
 
@@ -71,3 +72,26 @@ def test_hard_rows_and_empty_tables(spark, hard):
     assert len(got) == hard.count() and sum(r.n_hit > 0 for r in got) == 4
     assert decontaminate.matches(docs, items.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.matches(docs.limit(0), items).count() == 0
+
+
+def test_many_parts_equal_one_part(spark, make):
+    rng = random.Random(4)
+    mk = lambda n: " ".join(f"w{rng.randrange(40)}" for _ in range(n))
+    items = [(i, mk(30)) for i in range(60)] * 2
+    docs = make([(i, f"{mk(20)} {items[i % 60][1][5:60]} {mk(20)}") for i in range(50)])
+    test_set = spark.createDataFrame(items, "item_id long, text string")
+    whole = sum(len(t) for _, t in items[:60])
+    one, many = (
+        decontaminate.matches(docs.select("doc_id", "text"), test_set, 4, part_bytes=b)
+        .select("doc_id", "n_words", "n_hit", "items", "longest_match", "longest_at")
+        for b in (1 << 20, whole // 10)
+    )
+    assert decontaminate.built_parts(test_set, 4, "item_id", "text", whole // 10).count() >= 10 > decontaminate.LOADED
+    assert one.exceptAll(many).count() == many.exceptAll(one).count() == 0 and one.where("n_hit > 0").count() > 0
+
+
+def test_columns_with_names_of_results_give_way(spark, make):
+    docs = make([(1, "a b c"), (2, "x")]).withColumns({"n_hit": F.lit("clash"), "longest_at": F.lit(1), "part": F.lit("own")})
+    out = decontaminate.matches(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string"))
+    assert out.columns.count("n_hit") == 1 and out.columns.count("items") == 1
+    assert {(r.doc_id, r.n_hit, tuple(r["items"]), r.part) for r in out.collect()} == {(1, 2, ("1",), "own"), (2, 0, (), "own")}
