@@ -14,12 +14,14 @@ log-likelihood ratio of ``evidence`` take part; the others keep weight 0, so
 that long texts are not judged by chance.
 
 Training reads a bounded sample: at most ``positives`` toxic texts and
-``unlabelled`` distinct texts, those of the smallest hash. The prior is the
-share of toxic rows among the labels. Scores are for every row.
+``unlabelled`` distinct texts, those of the smallest hash. The prior is a
+parameter, or else estimated from the toxic and the unlabelled texts; rows
+labelled clean are as if they had no label. Scores are for every row.
 
 A null or empty text has no features; its score is that of the bias. Repeated
 rows are scored each. Without toxic labels the score is 0 everywhere; an empty
-table gives no rows. The score reads the text alone.
+table gives no rows. Very long texts are blocks of their own. The score reads
+the text alone.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phraseloom.llm import textblocks as tb
+from phraseloom.staging import stage
 
 
 @dataclass(frozen=True)
@@ -47,6 +50,8 @@ class Learning:
     evidence: float = 25.0
     l2: float = 1e-4
     threshold: float = 0.3
+    # the share of toxic texts, where it is known
+    prior: float | None = None
     folds: int = 4
     held_out: int = 2
 
@@ -125,7 +130,26 @@ def fit_weights(features: list[np.ndarray], toxic: np.ndarray, prior: float, how
     return np.append(weights, bias).astype(np.float32)
 
 
-def _fit(prior: float, how: Learning):
+def estimated_prior(features: list[np.ndarray], toxic: np.ndarray, least: float, how: Learning) -> float:
+    """The share of toxic texts among all, from toxic and unlabelled texts
+    alone. A classifier of one half of the texts ranks the other half. Of the
+    texts it puts on top nearly all are toxic, so there the share among the
+    unlabelled, divided by that among the toxic, comes down to the prior: the
+    threshold is the one with the least upper bound of that ratio."""
+    half = np.arange(len(features)) % 2 == 0
+    if not toxic[half].any() or not toxic[~half].any() or toxic[~half].all():
+        return least
+    weights = fit_weights([x for x, h in zip(features, half, strict=True) if h], toxic[half], 0.5, how)
+    z = np.array([weights[x].sum() for x, h in zip(features, half, strict=True) if not h])
+    top, rest = np.sort(z[toxic[~half]]), np.sort(z[~toxic[~half]])
+    q_top = 1 - np.searchsorted(top, top, "left") / len(top)
+    q_rest = 1 - np.searchsorted(rest, top, "left") / len(rest)
+    doubt = sum(np.sqrt(np.log(40) / (2 * len(x))) for x in (top, rest))
+    best = np.argmin((q_rest + doubt * (1 + least)) / q_top)
+    return float(np.clip(q_rest[best] / q_top[best], least, 0.5))
+
+
+def _fit(least: float, how: Learning):
     def run(table: pa.Table) -> pa.Table:
         lists = table.column("features").combine_chunks()
         values, bounds = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)
@@ -133,7 +157,9 @@ def _fit(prior: float, how: Learning):
         toxic = table.column("toxic").to_numpy().astype(bool)
         # the order of rows must not matter
         order = np.lexsort(([x.tobytes() for x in features], toxic)) if len(features) else []
-        weights = fit_weights([features[i] for i in order], toxic[order], prior, how)
+        features, toxic = [features[i] for i in order], toxic[order]
+        prior = estimated_prior(features, toxic, least, how) if how.prior is None else how.prior
+        weights = fit_weights(features, toxic, prior, how)
         return pa.table({"weights": pa.array([weights.tobytes()], pa.binary())})
 
     return run
@@ -142,11 +168,9 @@ def _fit(prior: float, how: Learning):
 def trained(
     docs: DataFrame, labels: DataFrame, how: Learning = DEFAULTS, id_col: str = "doc_id", text_col: str = "text"
 ) -> np.ndarray | None:
-    """The weights; None where no toxic text is known. ``labels``: (id, toxic)."""
-    known = labels.where(~held_out(F.col(id_col), how)).where(F.col("toxic").isNotNull())
-    share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    if not share:
-        return None
+    """The weights; None where no toxic text is known. ``labels``: (id, toxic),
+    of which only the rows with toxic = 1 are read."""
+    known = labels.where(~held_out(F.col(id_col), how)).where(F.col("toxic") == 1)
     texts = docs.where(~held_out(F.col(id_col), how)).select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
@@ -154,16 +178,20 @@ def trained(
     # one row per distinct text, so that copies do not fill the sample
     distinct = hashed.groupBy("hash").agg(F.min("id").alias("id"))
     unlabelled = distinct.orderBy("hash").limit(how.unlabelled).select("id", "hash", F.lit(0).alias("toxic"))
-    positive = known.where("toxic = 1").select(F.col(id_col).alias("id")).distinct().join(hashed, "id")
-    positive = positive.groupBy("hash").agg(F.min("id").alias("id")).orderBy("hash").limit(how.positives)
+    positive = known.select(F.col(id_col).alias("id")).distinct().join(hashed, "id")
+    positive = stage(positive.groupBy("hash").agg(F.min("id").alias("id")), "positives")
+    n_positive, n_texts = positive.count(), distinct.count()
+    if not n_positive:
+        return None
+    positive = positive.orderBy("hash").limit(how.positives)
     chosen = unlabelled.unionByName(positive.select("id", "hash", F.lit(1).alias("toxic")))
     chosen = chosen.toDF("chosen_id", "hash", "toxic")
     # at most positives + unlabelled rows of three numbers
     match = (F.xxhash64("text") == F.col("hash")) & F.col("id").eqNullSafe(F.col("chosen_id"))
     sample = texts.join(F.broadcast(chosen), match).select("toxic", "text")
     found = sample.mapInArrow(_features(how), "toxic int, features array<int>").groupBy()
-    prior = min(max(share, 0.001), 0.999)
-    row = found.applyInArrow(_fit(prior, how), "weights binary").first()
+    least = min(max(n_positive / n_texts, 0.001), 0.5)
+    row = found.applyInArrow(_fit(least, how), "weights binary").first()
     return np.frombuffer(row[0], np.float32) if row else None
 
 
