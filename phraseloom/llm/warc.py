@@ -3,11 +3,13 @@
 An archive is a ``.warc.zst`` file: a skippable Zstandard frame that holds the
 dictionary, then one frame for each record, compressed with it, so that any
 record can be read alone. The dictionary is trained once, from a bounded sample
-of the records that are archived, and embedded in every archive.
+of the records as they are archived, headers included, in pieces from all over
+each, and embedded in every archive.
 
 Of records with equal payloads of at least ``min_revisit`` bytes, the one with
 the largest id is a response and the others are revisits that refer to it and
-carry no payload. Which these are is found on digests, in a narrow table; the
+carry no payload. A response holds an HTTP head before its payload; a revisit
+names the record, the URI and the date that it refers to. Which these are is found on digests, in a narrow table; the
 payload is shuffled once, to bring record kinds and payloads together.
 
 Archives go to a folder that all machines share (by default the session's
@@ -25,6 +27,7 @@ in memory while it is written and read.
 from __future__ import annotations
 
 import hashlib
+import random
 import struct
 import uuid
 from collections.abc import Iterator
@@ -54,9 +57,10 @@ class ArchiveFormat:
     archive_bytes: int = 64 << 20  # of payload; a longer record has its own
     dictionary_bytes: int = 64 << 10
     # the sample the dictionary is trained from: so many records, so many
-    # bytes of each
+    # bytes of each, in so many pieces
     sample_records: int = 1000
     sample_bytes: int = 8 << 10
+    sample_pieces: int = 8
     date: str = "2024-01-01T00:00:00Z"
 
 
@@ -78,7 +82,39 @@ def record(kind: str, headers: dict[str, str], block: bytes) -> bytes:
     return head.encode() + block + b"\r\n\r\n"
 
 
+HTTP_END = b"\r\n\r\n"
+
+
+def record_id(name: str, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}|{digest}')}>"
+
+
+def page_record(name: str, url: str | None, payload: bytes | None, digest: str, size: int, refers: str | None, refers_url: str | None, form: ArchiveFormat) -> bytes:
+    """The record of a page: a response, or a revisit where it refers to one."""
+    headers = {
+        "WARC-Record-ID": record_id(name, digest),
+        "WARC-Date": form.date,
+        "WARC-Target-URI": url or "",
+        "WARC-Payload-Digest": f"sha1:{digest}",
+        "Content-Type": "application/http;msgtype=response",
+        "X-Page-ID": name,
+    }
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}".encode() + HTTP_END
+    if refers is None:
+        return record("response", headers, http + (payload or b""))
+    told = {
+        "WARC-Profile": REVISIT_PROFILE,
+        "WARC-Refers-To": record_id(refers, digest),
+        "WARC-Refers-To-Target-URI": refers_url or "",
+        "WARC-Refers-To-Date": form.date,
+        "X-Refers-To-Page-ID": refers,
+        "X-Payload-Length": str(size),
+    }
+    return record("revisit", headers | told, http)
+
+
 def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and payload of a record."""
     head, _, rest = data.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
     if first != VERSION:
@@ -87,7 +123,10 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
     size = int(headers["Content-Length"])
     if rest[size:] != b"\r\n\r\n":
         raise ValueError("a record of another length than it says")
-    return headers, rest[:size]
+    block = rest[:size]
+    if headers.get("Content-Type", "").startswith("application/http"):
+        block = block.partition(HTTP_END)[2]
+    return headers, block
 
 
 def train_dictionary(samples: list[bytes], form: ArchiveFormat = DEFAULTS) -> bytes:
@@ -99,6 +138,28 @@ def train_dictionary(samples: list[bytes], form: ArchiveFormat = DEFAULTS) -> by
         return b"".join(samples)[: form.dictionary_bytes]
 
 
+def pieces(data: bytes, digest: str, form: ArchiveFormat = DEFAULTS) -> bytes:
+    """At most ``sample_bytes`` of a record: its beginning, its end, and places
+    between them that its digest chooses."""
+    if len(data) <= form.sample_bytes:
+        return data
+    size = form.sample_bytes // form.sample_pieces
+    inner = random.Random(digest).sample(range(1, len(data) // size - 1), min(form.sample_pieces - 2, len(data) // size - 2))
+    return b"".join(data[k * size : (k + 1) * size] for k in (0, *sorted(inner))) + data[-size:]
+
+
+def _sampled(form: ArchiveFormat):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, samples = batch.column("digest").to_pylist(), []
+            for row in zip(*(batch.column(c) for c in ("name", "url", "payload", "digest", "size")), strict=True):
+                name, url, payload, digest, size = (x.as_py() for x in row)
+                samples.append(pieces(page_record(name, url, payload, digest, size, None, None, form), digest, form))
+            yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.string()), "sample": pa.array(samples, pa.binary())})
+
+    return run
+
+
 def _train(form: ArchiveFormat):
     def run(table: pa.Table) -> pa.Table:
         samples = sorted(x for x in table.column("sample").to_pylist() if x)
@@ -108,12 +169,15 @@ def _train(form: ArchiveFormat):
 
 
 def dictionary_of(rows: DataFrame, form: ArchiveFormat = DEFAULTS) -> bytes:
-    """Trained in one task from at most ``sample_records`` records."""
+    """Trained in one task from at most ``sample_records`` records, cut to
+    ``sample_bytes`` each by the tasks that read them."""
     # digests are ordered, not payloads; copies of a payload count once
     chosen = rows.select("digest").distinct().orderBy(F.xxhash64("digest"), "digest").limit(form.sample_records)
-    head = record("response", {}, b"")
-    text = F.concat(F.lit(head), F.substring(F.col("payload"), 1, form.sample_bytes))
-    sample = rows.select("digest", text.alias("sample")).join(F.broadcast(chosen), "digest").dropDuplicates(["digest"])
+    name = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name")
+    read = rows.select(name, "url", "payload", "digest", "size").join(F.broadcast(chosen), "digest")
+    sample = read.mapInArrow(_sampled(form), "digest string, sample binary")
+    # of copies, the least sample
+    sample = sample.groupBy("digest").agg(F.min("sample").alias("sample"))
     done = sample.select("sample").groupBy().applyInArrow(_train(form), "dictionary binary")
     row = done.first()
     return bytes(row[0]) if row else b""
@@ -166,22 +230,11 @@ def _write(sent: Broadcast, folder: str, form: ArchiveFormat):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, done = None, []
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("name", "url", "payload", "digest", "size", "refers")), strict=True):
-                name, url, payload, digest, size, refers = (x.as_py() for x in row)
+            for row in zip(*(batch.column(c) for c in ("name", "url", "payload", "digest", "size", "refers", "refers_url")), strict=True):
+                page = [x.as_py() for x in row]
                 if archive is None:
                     archive = Archive(folder, sent.value, form)
-                headers = {
-                    "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}|{digest}')}>",
-                    "WARC-Date": form.date,
-                    "WARC-Target-URI": url or "",
-                    "WARC-Payload-Digest": f"sha1:{digest}",
-                    "X-Page-ID": name,
-                }
-                if refers is None:
-                    archive.add(record("response", headers, payload))
-                else:
-                    told = {"WARC-Profile": REVISIT_PROFILE, "X-Refers-To-Page-ID": refers, "X-Payload-Length": str(size)}
-                    archive.add(record("revisit", headers | told, b""))
+                archive.add(page_record(*page, form))
                 if archive.size >= form.archive_bytes:
                     done.append(archive.close())
                     archive = None
@@ -229,10 +282,13 @@ def payloads(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
 
 
 def revisits(rows: DataFrame, form: ArchiveFormat = DEFAULTS) -> DataFrame:
-    """(id, same, refers): the rows that are revisits, once each."""
-    large = rows.where(F.col("size") >= form.min_revisit).select("id", "same")
-    ids = stage(large.groupBy("same", "id").agg(F.count(F.lit(1)).alias("n")), "payload-ids").select("same", "id")
-    largest = ids.groupBy("same").agg(F.max("id").alias("refers"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    """(id, same, refers, refers_url): the rows that are revisits, once each."""
+    large = rows.where(F.col("size") >= form.min_revisit).select("id", "same", "url")
+    ids = stage(large.groupBy("same", "id").agg(F.min("url").alias("url")), "payload-ids")
+    largest = ids.groupBy("same").agg(
+        F.max("id").alias("refers"), F.max_by("url", "id").alias("refers_url"), F.count(F.lit(1)).alias("n")
+    )
+    largest, ids = largest.where("n > 1"), ids.select("same", "id")
     # straight from an exchange on both sides: a payload of very many ids is split
     found = ids.join(stage(largest.drop("n"), "responses"), "same")
     return found.where(~F.col("id").eqNullSafe(F.col("refers")))
@@ -249,7 +305,9 @@ def write_archives(
     """Writes the archives; (path, records) of each, a written table."""
     rows = payloads(pages, id_col, url_col, html_col)
     sent = pages.sparkSession.sparkContext.broadcast(dictionary_of(rows, form))
-    told = stage(revisits(rows, form), "revisits").toDF("of_same", "of_id", "refers")
+    told = stage(revisits(rows, form), "revisits").select(
+        F.col("same").alias("of_same"), F.col("id").alias("of_id"), "refers", "refers_url"
+    )
     both = rows.join(told, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("same") == F.col("of_same")), "left")
     payload = F.when(F.col("of_same").isNull(), F.col("payload"))
     named = both.select(
@@ -259,6 +317,7 @@ def write_archives(
         "digest",
         "size",
         F.col("refers").cast("string").alias("refers"),
+        "refers_url",
     )
     return stage(named.mapInArrow(_write(sent, folder, form), "path string, records long"), "manifest")
 
