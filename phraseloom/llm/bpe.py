@@ -43,7 +43,7 @@ WORD_END = 0xE000
 # Encoded words and answered pairs that a worker remembers: when there are this
 # many, they become the older half, and that is dropped. Results do not depend
 # on it.
-MEMORY = 250_000
+MEMORY = 120_000
 # Up to here, all versions of Unicode agree on letters and cases.
 LATIN = "\u0250"
 OUTSIDE = (-1, -1)

@@ -32,12 +32,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+# Rows and bytes that go to a Python worker at once: texts may be long, and the
+# buffers of a batch exist several times, in the JVM and in the worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def reachable(spark: SparkSession) -> None:
     """Lets Python workers started by a local session import this package from
-    where the driver did; a cluster has it installed."""
+    where the driver did; a cluster has it installed. Batches are kept small."""
     paths = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, paths]))
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
