@@ -156,8 +156,9 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = lambda: [F.sha2("edited", 256).alias("edited_sha256")]
-    found = fingerprints.compared(table(spark, sf_dir, "documents"), keep=digest)
-    return found.withColumnRenamed("id", "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    found = fingerprints.compared(docs, keep=digest)
+    return fingerprints.with_classes(found, fingerprints.linked(found, docs)).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Query]:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phraseloom.llm import fingerprints as fp
+from phraseloom.llm.components import components
 from phraseloom.llm.queries import op13_fingerprints
 from tests.llm.test_neardup import edited as with_edits
 from tests.llm.test_neardup import shingles
@@ -107,6 +108,66 @@ def test_the_query(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
     want = {(d, n, hashlib.sha256(t.encode()).hexdigest()) for d, n, t, _ in brute_order(docs)}
     got = op13_fingerprints(spark, sf_dir)
-    assert {(r.doc_id, r.n_chars, r.edited_sha256) for r in got.collect()} == want
+    rows = got.collect()
+    assert {(r.doc_id, r.n_chars, r.edited_sha256) for r in rows} == want
+    assert {r.doc_id: r.class_id for r in rows} == brute_classes(docs)
     mean = got.where("n_chars > 200").agg(F.avg("near_edited"), F.avg("near_next")).collect()[0]
     assert mean[0] > 0.5 and mean[1] < 0.1
+
+
+def brute_classes(rows, n=5):
+    """The smallest id reachable by pairs of similarity 0.8, all against all."""
+    sets = [(doc, shingles(text or "", n)) for doc, text in rows]
+    label = {doc: doc for doc, _ in sets}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, (a, s) in enumerate(sets):
+        for b, t in sets[:i]:
+            if s and t and 100 * len(s & t) >= 80 * len(s | t):
+                x, y = root(a), root(b)
+                label[max(x, y)] = min(x, y)
+    return {doc: root(doc) for doc, _ in sets}
+
+
+def classes(docs, how=fp.DEFAULTS):
+    found = fp.compared(docs, how)
+    return {r.id: r.class_id for r in fp.with_classes(found, fp.linked(found, docs, how)).collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_equal_brute_force(make, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for base in range(4):
+        words = [f"b{base}w{i}" for i in range(rng.choice([40, 90, 200]))]
+        rows += [(len(rows) + k, with_edits(rng, words, rng.choice([0, 1, 1, 2, 3, 4, 6]))) for k in range(25)]
+    rng.shuffle(rows)
+    rows += [(1000, None), (1001, ""), (1002, "one two"), (1003, "ONE  two"), (1004, rows[0][1]), (1005, rows[0][1])]
+    want = brute_classes(rows)
+    assert len(set(want.values())) < len(rows) - 10
+    assert classes(make(rows)) == want
+
+
+def test_pivots_find_what_first_members_miss(make, monkeypatch):
+    """Bands of one place: large buckets of texts that are near their
+    neighbours in a chain alone, so few are near the first of their bucket."""
+    words = [f"w{i}" for i in range(160)]
+    rows = [(i, " ".join([f"x{j}" for j in range(4 * i)] + words[4 * i : 100])) for i in range(20)]
+    rounds = []
+    monkeypatch.setattr(fp, "components", lambda edges: rounds.append(1) or components(edges))
+    assert classes(make(rows), fp.Permutations(rows=1, bands=60)) == brute_classes(rows)
+    assert len(rounds) >= 3
+
+
+def test_classes_of_hard_rows(hard, make):
+    found = fp.compared(hard)
+    got = fp.with_classes(found, fp.linked(found, hard)).collect()
+    assert len(got) == hard.count()
+    none = make([(7, "a")]).where("doc_id = 8")
+    assert classes(none) == {}
