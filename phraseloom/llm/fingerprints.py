@@ -18,9 +18,9 @@ too much are dropped and all others are verified on their full shingle sets, at
 a Jaccard similarity of 0.8 or more. With 25 bands a pair at the limit shares no
 band with a probability of 5e-5. Documents of equal sets are one class and take
 part once. No bucket emits all its pairs: first each class meets one of the
-others, then pivots, one a bucket and twice as many each round, meet what they
-are still apart from, and when all members but those of the largest connected
-group have been pivots, every pair of the bucket is connected or compared.
+others. Where a bucket is not connected then, the members outside its largest
+connected group meet all others in blocks, inside tasks that emit a link only
+where it connects something, so every pair of a bucket is connected or compared.
 
 A null text is empty: its fingerprint is one that no other text has, likeness 1
 to itself and 0 to others; texts without words link with nothing. A text of fewer than five words is one shingle. Rows
@@ -60,6 +60,8 @@ class Permutations:
     deviations: float = 6.0
     # the filter that keeps texts without candidates out of a shuffle: 1 MB
     filter_bits: int = 23
+    # members that one task compares with others at a time
+    block: int = 1024
 
     @property
     def fewest(self) -> int:
@@ -295,14 +297,69 @@ class _Verifier:
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that hold several labels: (key, vertex, met,
-    label, main), where main is the label that most of the bucket have."""
+    """The members of buckets that hold several labels: (vertex, first, label,
+    odd), odd if most of the bucket have another label."""
     own = members.join(labels.withColumnRenamed("id", "vertex"), "vertex", "left")
-    own = stage(own.select("key", "vertex", "met", F.coalesce("label", "vertex").alias("label")), "labelled")
+    own = stage(own.select("key", "vertex", "first", F.coalesce("label", "vertex").alias("label")), "labelled")
     groups = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = groups.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"))
     mixed = stage(mixed.where("labels > 1").select("key", F.col("most.label").alias("main")), "mixed-buckets")
-    return stage(own.join(mixed, "key"), "open-buckets")
+    odd = (F.col("label") != F.col("main")).alias("odd")
+    return stage(own.join(mixed, "key").select("vertex", "first", "label", odd), "open-buckets")
+
+
+def _compare(how: Permutations):
+    """Links of the odd members of a block with its others, on fingerprints and
+    then on sets. What a link connects is compared no more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        odd = np.array(table.column("odd").to_pylist(), dtype=bool)
+        vertex, label = table.column("vertex").to_numpy(), table.column("label").to_numpy().copy()
+        prints = np.frombuffer(b"".join(table.column("fingerprint").to_pylist()), "<u2").reshape(-1, how.size)
+        sets = table.column("shingles").combine_chunks()
+        size = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.cumsum(size) - size
+        _, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        held = np.zeros(code.max(initial=0) + 1, dtype=np.int64)
+        left, right = [], []
+        for i in np.flatnonzero(odd).tolist():
+            fit = ~odd & (label != label[i])
+            fit[fit] = (prints[fit] == prints[i]).sum(axis=1) >= how.fewest
+            if not fit.any():
+                continue
+            own = code[start[i] : start[i] + size[i]]
+            held[own] = 1
+            common = np.add.reduceat(held[code], start)
+            held[own] = 0
+            near = np.flatnonzero(fit & (100 * common >= how.percent * (size + size[i] - common)))
+            for name, at in zip(*np.unique(label[near], return_index=True), strict=True):
+                left.append(vertex[i])
+                right.append(vertex[near[at]])
+                label[label == name] = label[i]
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return run
+
+
+def _odd_links(open_: DataFrame, verifier: _Verifier) -> DataFrame:
+    """Links (a, b) of odd members. Open buckets that share members are one
+    cluster, in which a class has one row."""
+    how = verifier.how
+    each = open_.groupBy("vertex").agg(F.max("label").alias("label"), F.max("odd").alias("odd"))
+    each = stage(each, "open-members")
+    bonds = open_.select(F.col("first").alias("a"), F.col("vertex").alias("b")).where("a <> b").distinct()
+    each = each.join(components(bonds).toDF("vertex", "cluster"), "vertex")
+    each = stage(each.join(verifier.classes.select("vertex", "fingerprint"), "vertex"), "cluster-members")
+    sizes = each.groupBy("cluster").agg(F.count(F.lit(1)).alias("of"), F.sum(F.col("odd").cast("long")).alias("odds"))
+    verifier._read(each.select("vertex"))
+    whole = each.join(verifier.sets, "vertex").join(stage(sizes.where("odds > 0"), "clusters"), "cluster")
+    blocks = lambda c: F.ceil(F.col(c) / how.block).cast("int")
+    place = lambda c, salt: F.pmod(F.xxhash64("vertex", F.lit(salt)), blocks(c)).cast("int")
+    steps = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
+    payload = ["cluster", "vertex", "label", "fingerprint", "shingles"]
+    as_member = whole.select(*payload, F.lit(False).alias("odd"), place("of", 1).alias("block"), F.explode(steps("odds")).alias("part"))
+    as_odd = whole.where("odd").select(*payload, F.lit(True).alias("odd"), F.explode(steps("of")).alias("block"), place("odds", 2).alias("part"))
+    return as_member.unionByName(as_odd).groupBy("cluster", "block", "part").applyInArrow(_compare(how), "a long, b long")
 
 
 def linked(
@@ -334,23 +391,9 @@ def linked(
     meets = members.where("vertex <> first").groupBy(F.col("vertex").alias("b")).agg(F.mode("first", True).alias("a"))
     edges = verifier.links(stage(meets, "first-pairs"))
     labels = components(edges)
-    members = members.select("key", "vertex", F.lit(False).alias("met"))
-    slots = 1
-    while True:
-        open_ = _labelled(members, labels)
-        pool = open_.where("label <> main and not met")
-        pivots = pool.groupBy("key", F.pmod(F.xxhash64("vertex"), F.lit(slots)).alias("slot"))
-        pivots = pivots.agg(F.min(F.struct("vertex", "label")).alias("pivot"))
-        pivots = stage(pivots.select("key", F.col("pivot.vertex").alias("a"), F.col("pivot.label").alias("of")), "pivots")
-        if pivots.isEmpty():
-            break
-        pairs = open_.join(pivots, "key").where(F.col("label") != F.col("of"))
-        pairs = pairs.select(F.least("a", "vertex").alias("a"), F.greatest("a", "vertex").alias("b")).distinct()
-        edges = edges.unionByName(verifier.links(stage(pairs, "pivot-pairs")))
-        labels = components(edges)
-        now = pivots.select("key", F.col("a").alias("vertex"), F.lit(True).alias("now"))
-        members = open_.join(now, ["key", "vertex"], "left").select("key", "vertex", F.coalesce("now", "met").alias("met"))
-        slots *= 2
+    more = stage(_odd_links(_labelled(members, labels), verifier), "odd-links")
+    if not more.isEmpty():
+        labels = components(stage(edges.unionByName(more), "links"))
 
     named = classes.select("vertex", "digest", "id", "copies").join(labels.toDF("vertex", "label"), "vertex", "left")
     named = named.where("label is not null or copies > 1").withColumn("label", F.coalesce("label", "vertex"))
