@@ -201,3 +201,26 @@ def test_documents_bucketed_by_id_are_not_shuffled_again(spark, scan, tmp_path):
     finally:
         spark.sql("DROP DATABASE IF EXISTS shelf CASCADE")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tags_are_named_once_and_not_in_conditions(scan):
+    # a tag that a filter computes again is code too long for the JVM to compile
+    for tagger in (None, LanguageTagger()):
+        plan = executed(phrases.content_tokens(phrases.tagged_tokens(scan, tagger)))
+        assert not any("CASE WHEN" in l for l in plan.splitlines() if "Filter" in l)
+
+
+def test_runs_of_token_rows_need_one_exchange_and_no_window(scan):
+    tagger = LanguageTagger()
+    plan = executed(phrases.phrase_runs(phrases.tagged_tokens(scan, tagger), tagger=tagger))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_runs_count_the_tokens_that_close(spark):
+    tagged = spark.createDataFrame(
+        [(1, i, t, g) for i, (t, g) in enumerate([("Big", "JJ"), ("dogs", "NN"), (".", "."), ("the", "DT"), ("cat", "NN"), ("!", "."), ("end", "NN")])],
+        "doc_id long, pos int, token string, tag string",
+    )
+    assert [tuple(r) for r in phrases.phrase_runs(tagged).orderBy("run").collect()] == [(1, 0, "big dog"), (1, 2, "cat")]
+    flushed = phrases.phrase_runs(tagged, replace(DEFAULTS, flush_trailing=True)).orderBy("run").collect()
+    assert [tuple(r) for r in flushed] == [(1, 0, "big dog"), (1, 2, "cat"), (1, 3, "end")]
